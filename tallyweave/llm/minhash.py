@@ -7,10 +7,10 @@ mean and the concentration of independent minima.
 
 Links: rows with equal shingle sets form a class, and only class representatives (least doc_id) go on. Their sketches
 are cut into bands; at the thresholds used here a pair that reaches the threshold misses all of the bands with a
-probability below 1e-6. Within a band's bucket members are linked to the bucket's least member first. Only where a
-bucket still has several components are further pairs formed, of members of different components, so that a large
-group of copies costs a pair for each member and band, not one for each two. Every pair is confirmed on the full sets
-of 64-bit shingle hashes, built again from the whole texts.
+probability below 1e-6. Within a band's bucket members are linked to the bucket's least member first, so that a large
+group of copies costs a pair for each member and band, not one for each two. Where a bucket still has several
+components, their members are compared in packs, all pairs of two packs in one step, and only what connects them is
+passed on. Every link is confirmed on the full sets of 64-bit shingle hashes, built again from the whole texts.
 
 Edge cases: texts of null or without a word have an empty set, link with nothing and are kept; texts with fewer words
 than a shingle have one shingle, all their words; repeated rows share a class; rows that share a doc_id but not the
@@ -35,6 +35,7 @@ BINS, BAND = 120, 4
 CACHE = 300_000
 #: A pair whose sketches agree in fewer bins than this share is no candidate; at the thresholds used, 6 standard deviations away.
 SLACK = 0.22
+PACK, PACK_SHINGLES = 384, 1 << 16
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -136,6 +137,91 @@ def _pairs(found: DataFrame, reps: DataFrame, docs: DataFrame, k: int, threshold
     return materialize(_confirmed(materialize(_agreeing(both, threshold)), docs, k, threshold))
 
 
+def _across(rest: DataFrame, reps: DataFrame, docs: DataFrame, k: int, threshold: float) -> DataFrame:
+    """Pairs (a, b) that connect what the confirmed links between different components of a bucket connect.
+
+    rest: band, bucket, node, n, c of all members of such buckets. They are dealt to packs of about PACK_SHINGLES
+    shingles and at most about PACK members; a component that fills a pack has packs of its own, which are not compared
+    with one another. Each two other packs of a bucket meet in one row, and all their pairs are compared there at once.
+    """
+    own = rest.groupBy("band", "bucket", "c").agg(F.sum("n").alias("sn"), F.count(F.lit(1)).alias("m"))
+    packs = F.ceil(F.greatest(F.col("sn") / PACK_SHINGLES, F.col("m") / PACK)).cast("int")
+    own = own.withColumn("pack_c", F.when(packs > 1, F.col("c")))
+    counts = own.groupBy("band", "bucket", "pack_c").agg(F.sum("sn").alias("sn"), F.sum("m").alias("m")).withColumn("packs", packs).drop("sn", "m")
+    dealt = (
+        rest.join(own.select("band", "bucket", "c", "pack_c"), ["band", "bucket", "c"])
+        .join(counts.toDF("band", "bucket", "pc", "packs"), ["band", "bucket"])
+        .where(F.col("pack_c").eqNullSafe(F.col("pc")))
+        .withColumn("pack", F.pmod(F.xxhash64("node"), F.col("packs").cast("long")).cast("int"))
+    )
+    schema = pa.schema([("node", pa.int64()), ("items", pa.binary())])
+
+    def sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _WordHash()
+        yield from batches(((i, shingles(t, k, words).tobytes()) for p in parts for i, t in zip(p.column(0).to_pylist(), raw(p.column(1)), strict=True)), schema)
+
+    nodes = rest.select("node").distinct().join(reps.select("node", "text_key"), "node")
+    texts = docs.select(F.md5("text").alias("text_key"), "text").join(nodes, "text_key").groupBy("node").agg(F.any_value("text").alias("text"))
+    items = materialize(texts.select("node", "text").mapInArrow(sets, "node long, items binary"))
+    key = ["band", "bucket", "pc", "pack"]
+    full = materialize(dealt.join(items, "node").groupBy(*key).agg(F.collect_list(F.struct("node", "c", "items")).alias("members")))
+    x, y = full.toDF("band", "bucket", "pc", "pack", "left"), full.toDF("band", "bucket", "qc", "qack", "right")
+    ahead = F.struct(F.coalesce("pc", F.lit(-(1 << 63))), "pack") <= F.struct(F.coalesce("qc", F.lit(-(1 << 63))), "qack")
+    met = x.join(y, ["band", "bucket"]).where(ahead & (F.col("pc").isNull() | ~F.col("pc").eqNullSafe(F.col("qc"))))
+    percent = round(threshold * 100)
+
+    def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in parts:
+            for i in range(len(p)):
+                left, right = (p.column(j)[i].as_py() for j in (0, 1))
+                a, b = (np.array([m["node"] for m in side], np.int64) for side in (left, right))
+                c, d = (np.array([m["c"] for m in side], np.int64) for side in (left, right))
+                found = [[np.frombuffer(m["items"], np.uint64) for m in side] for side in (left, right)]
+                both, (na, nb) = _common(*found), (np.array([len(s) for s in side]) for side in found)
+                linked = (100 * both >= percent * (na[:, None] + nb[None, :] - both)) & (c[:, None] != d[None, :])
+                pairs = _spanning(a, b, linked)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+    return met.select("left", "right").mapInArrow(compare, "a long, b long").distinct()
+
+
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many items each left set shares with each right set."""
+    (x, own_x), (y, own_y) = ((np.concatenate(s), np.repeat(np.arange(len(s)), [len(i) for i in s])) for s in (left, right))
+    shared = np.intersect1d(x, y)
+    out = np.zeros((len(left), len(right)), np.float32)
+    place = []
+    for v, own in ((x, own_x), (y, own_y)):
+        at = np.searchsorted(shared, v)
+        hit = at < len(shared)
+        hit[hit] = shared[at[hit]] == v[hit]
+        place.append((at[hit], own[hit]))
+    for start in range(0, len(shared), 4096):  # so many columns at a time
+        grids = []
+        for (at, own), n in zip(place, out.shape, strict=True):
+            here = (at >= start) & (at < start + 4096)
+            grid = np.zeros((n, min(4096, len(shared) - start)), np.float32)
+            grid[own[here], at[here] - start] = 1
+            grids.append(grid)
+        out += grids[0] @ grids[1].T
+    return out.astype(np.int64)
+
+
+def _spanning(a: np.ndarray, b: np.ndarray, linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a node and the least node that links connect it with."""
+    some_a, some_b = linked.any(1), linked.any(0)
+    a, b, linked = a[some_a], b[some_b], linked[some_a][:, some_b]
+    la, lb, big = a.copy(), b.copy(), np.iinfo(np.int64).max
+    while len(a):
+        ma = np.minimum(la, np.where(linked, lb[None, :], big).min(1))
+        mb = np.minimum(lb, np.where(linked, ma[:, None], big).min(0))
+        if (ma == la).all() and (mb == lb).all():
+            break
+        la, lb = ma, mb
+    n, l = np.concatenate([a, b]), np.concatenate([la, lb])
+    return n[n != l], l[n != l]
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, component (least node) of all nodes in links (a, b). Each round halves the distance to the least node."""
     edges = materialize(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct())
@@ -167,14 +253,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> Data
     stars = shared.where((F.col("node") != F.col("hub")) & close(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     links = _pairs(stars, reps, docs, k, threshold)
     labels = components(links)
-    # what the stars left apart within a bucket, each two of different components once
+    # what the stars left apart within a bucket is compared in packs of members
     named = shared.join(labels, "node", "left").select("band", "bucket", "node", "n", F.coalesce("component", "node").alias("c"))
     open_ = named.groupBy("band", "bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("band", "bucket")
     rest = materialize(named.join(open_, ["band", "bucket"], "left_semi"))
-    other = rest.toDF("band", "bucket", "b", "m", "d")
-    across = rest.join(other, ["band", "bucket"]).where((F.col("c") < F.col("d")) & close(F.col("n"), F.col("m")))
-    across = across.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = _pairs(across, reps, docs, k, threshold)
+    more = materialize(_across(rest, reps, docs, k, threshold))
     links = links.union(more)
     labels = components(links)
     named = reps.select("node", "set_key", F.col("doc_id").alias("least")).join(labels, "node", "left")
