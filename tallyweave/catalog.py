@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list = []
+from tallyweave.plans import linking, scalar
+
+MODULES = [scalar, linking]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
