@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from tallyweave.functions import normalize as N
 from tallyweave.functions import similarity as S
 
+from .lineage import settled
+
 c = F.col
 CARRIED = ("of", "ov", "perfil")
-#: Values on more plan lines than this bring no candidates of their own.
-CAP = 500
 TOP_K = 10
 
 
@@ -71,12 +71,11 @@ def tolerance_join(left: DataFrame, right: DataFrame, x: str, y: str, tolerance:
 
 
 def candidates(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """The lines of the row's order where the plan has it; else lines of its model (capped), then uncapped."""
+    """The lines of the row's order where the plan has it; else the lines of its model, however many."""
     by_order = exact_candidates(rows, plan, "of_eff", "of_code")
-    rest = rows.join(by_order.select("sheet_uid", "pos").distinct(), ["sheet_uid", "pos"], "left_anti")
-    by_model = exact_candidates(rest, plan, "modelo_written", "modelo", CAP)
-    rest = rest.join(by_model.select("sheet_uid", "pos").distinct(), ["sheet_uid", "pos"], "left_anti")
-    return by_order.unionByName(by_model).unionByName(exact_candidates(rest, plan, "modelo_written", "modelo"))
+    orders = plan.select(order_key(c("of_code")).alias("k")).distinct()
+    rest = rows.join(orders, order_key(c("of_eff")) == c("k"), "left_anti")
+    return by_order.unionByName(exact_candidates(rest, plan, "modelo_written", "modelo"))
 
 
 def weights(plan: DataFrame, field: str) -> DataFrame:
@@ -87,14 +86,15 @@ def weights(plan: DataFrame, field: str) -> DataFrame:
 
 def score_pairs(rows: DataFrame, plan: DataFrame, pairs: DataFrame) -> DataFrame:
     """bits (micro) and agree of each pair. Evidence is computed on distinct pairs of values and joined back."""
-    p = pairs.join(rows.select("sheet_uid", "pos", "of_eff", "ov_eff", "perfil_eff", "modelo_written"), ["sheet_uid", "pos"]).join(plan.select("plan_key", "of_code", "ov", "perfil", "modelo"), "plan_key")
+    base = pairs.join(rows.select("sheet_uid", "pos", "of_eff", "ov_eff", "perfil_eff", "modelo_written"), ["sheet_uid", "pos"]).join(plan.select("plan_key", "of_code", "ov", "perfil", "modelo"), "plan_key")
+    p = base = settled(base)
     total, agree = F.lit(0).cast("long"), F.lit(0)
     for written, field, code in (("of_eff", "of_code", True), ("ov_eff", "ov", True), ("perfil_eff", "perfil", False), ("modelo_written", "modelo", True)):
         if field == "perfil":
             sim = F.when(N.profile_key(c(written)) == N.profile_key(c(field)), 1.0).otherwise(0.0)
         else:
             sim = F.when(order_key(c(written)) == order_key(c(field)), 1.0).otherwise(S.ratio(F.regexp_replace(N.compact(c(written)), "^O[FV]", ""), F.regexp_replace(N.compact(c(field)), "^O[FV]", "")))
-        distinct = p.where(c(written).isNotNull()).select(written, field).distinct().withColumn("sim", sim).join(weights(plan, field), field)
+        distinct = base.where(c(written).isNotNull()).select(written, field).distinct().withColumn("sim", sim).join(weights(plan, field), field)
         bits = S.identity_bits(c("sim"), F.lit(0.0), c(f"w_{field}"), F.lit(False), F.lit(False), code)
         scored = distinct.select(written, field, S.micro_bits(bits).alias(f"b_{field}"), (c("sim") >= 0.55).cast("int").alias(f"a_{field}"))
         p = p.join(scored, [written, field], "left")
@@ -125,6 +125,6 @@ def matches(ranked: DataFrame, n_plan: DataFrame, age_days: float = 0.0) -> Data
 
 
 def link(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    carried = carry_down(rows)
+    plan, carried = settled(plan), settled(carry_down(rows))
     scored = score_pairs(carried, plan, candidates(carried, plan))
     return matches(rank_candidates(scored), plan.agg(F.count(F.lit(1)).alias("n")))

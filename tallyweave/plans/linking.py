@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyweave.functions import normalize as N
 from tallyweave.functions import similarity as S
 from tallyweave.operators import decode, linkage as L
+from tallyweave.operators.lineage import settled
 
 from .registry import Registry
 from .scalar import CODE, RATIO, WRITTEN, ZERO_O
@@ -49,8 +50,8 @@ matched AS (SELECT sheet_uid, pos, plan_key, bits, agree, coalesce(bits - rival,
 
 
 def scored_of(t):
-    rows = L.carry_down(t.rows)
-    return L.rank_candidates(L.score_pairs(rows, t.plan, L.candidates(rows, t.plan)))
+    rows, plan = settled(L.carry_down(t.rows)), settled(t.plan)
+    return L.rank_candidates(L.score_pairs(rows, plan, L.candidates(rows, plan)))
 
 
 def matched_of(t):

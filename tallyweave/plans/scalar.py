@@ -233,7 +233,7 @@ def _(t):
     return pairs(t).select(*KEY, S.code_similarity(c("of_written"), c("of_code")).alias("v"))
 
 
-@query("e3_text_similarity", "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.97 ELSE 0.6 + 0.2 END AS v FROM customer")
+@query("e3_text_similarity", "SELECT c_custkey, CAST(CASE c_custkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.97 ELSE 0.6 + 0.2 END AS DOUBLE) AS v FROM customer")
 def _(t):
     name = F.when(c("c_custkey") % 3 == 0, F.lower("c_name")).when(c("c_custkey") % 3 == 1, F.substring("c_name", 1, 11)).otherwise(F.concat(F.lit("Other "), "c_name"))
     truth = F.when(c("c_custkey") % 3 == 2, F.concat("c_name", F.lit(" Norte"))).otherwise(c("c_name"))
@@ -270,14 +270,14 @@ def _(t):
 
 
 @query("e8_identity_bits", f"""WITH k AS (SELECT DISTINCT translate(modelo, 'O', '0') AS k FROM plan_lines), x AS (SELECT sheet_uid, pos, {RATIO('modelo_written', 'modelo')} AS s, modelo_written IS NULL AS blank, k.k IS NOT NULL AS known FROM {_PAIRS} LEFT JOIN k ON translate(modelo_written, 'O', '0') = k.k)
-SELECT sheet_uid, pos, CASE WHEN blank THEN 0.0 WHEN s >= 1 THEN 10.0 WHEN s >= 0.9 THEN 5.0 WHEN known THEN -3.0 ELSE -1.5 END AS v FROM x""")
+SELECT sheet_uid, pos, CAST(CASE WHEN blank THEN 0.0 WHEN s >= 1 THEN 10.0 WHEN s >= 0.9 THEN 5.0 WHEN known THEN -3.0 ELSE -1.5 END AS DOUBLE) AS v FROM x""")
 def _(t):
     known = t.plan.select(F.translate("modelo", "O", "0").alias("k")).distinct().withColumn("known", F.lit(True))
     p = pairs(t).join(known, F.translate("modelo_written", "O", "0") == c("k"), "left")
     return p.select(*KEY, S.identity_bits(S.ratio(c("modelo_written"), c("modelo")), F.lit(0.0), F.lit(10.0), F.coalesce("known", F.lit(False)), c("modelo_written").isNull()).alias("v"))
 
 
-@query("e10_context_bonus", "WITH last AS (SELECT max(sheet_date) AS d FROM facts), act AS (SELECT DISTINCT of_code FROM facts, last WHERE sheet_date >= d - CAST(400 AS INTEGER)) SELECT plan_key, CASE WHEN a.of_code IS NULL THEN 0.0 ELSE 2.0 END AS v FROM plan_lines p LEFT JOIN act a ON p.of_code = a.of_code")
+@query("e10_context_bonus", "WITH last AS (SELECT max(sheet_date) AS d FROM facts), act AS (SELECT DISTINCT of_code FROM facts, last WHERE sheet_date >= d - CAST(400 AS INTEGER)) SELECT plan_key, CAST(CASE WHEN a.of_code IS NULL THEN 0.0 ELSE 2.0 END AS DOUBLE) AS v FROM plan_lines p LEFT JOIN act a ON p.of_code = a.of_code")
 def _(t):
     last = t.facts.agg(F.max("sheet_date").alias("d"))
     active = t.facts.crossJoin(F.broadcast(last)).where(c("sheet_date") >= F.date_sub("d", 400)).select("of_code").distinct().withColumn("bonus", F.lit(2.0))  # one date
@@ -288,7 +288,7 @@ _LAST = "CAST(string_split(substr({}, 2), 'X')[{}] AS DOUBLE)"
 
 
 @query("e11_profile_score", _DIMS + f""", x AS (SELECT e.sheet_uid, e.pos, e.dims, e.rest, p.perfil FROM e JOIN sheet_rows r ON e.sheet_uid = r.sheet_uid AND e.pos = r.pos JOIN plan_lines p ON r.true_plan_key = p.plan_key)
-SELECT sheet_uid, pos, CASE WHEN rest = '' THEN 0.0 WHEN (CASE WHEN len(dims) = 2 THEN concat('L', dims[1], 'X', dims[1], 'X', dims[2]) ELSE 'L' || array_to_string(dims, 'X') END) = perfil THEN 10.0 ELSE -10.0 END AS v FROM x""")
+SELECT sheet_uid, pos, CAST(CASE WHEN rest = '' THEN 0.0 WHEN (CASE WHEN len(dims) = 2 THEN concat('L', dims[1], 'X', dims[1], 'X', dims[2]) ELSE 'L' || array_to_string(dims, 'X') END) = perfil THEN 10.0 ELSE -10.0 END AS DOUBLE) AS v FROM x""")
 def _(t):
     p = pairs(t).select(*KEY, N.parse_profile(c("perfil_written")).alias("w"), N.parse_profile(c("perfil")).alias("p"))
     near = F.forall(F.zip_with("w.dims", "p.dims", lambda a, b: F.abs(a - b) <= b * 0.01), lambda x: x)
