@@ -9,8 +9,8 @@ Links: rows with equal shingle sets form a class, and only class representatives
 are cut into bands; at the thresholds used here a pair that reaches the threshold misses all of the bands with a
 probability below 1e-6. Within a band's bucket members are linked to the bucket's least member first, so that a large
 group of copies costs a pair for each member and band, not one for each two. Where a bucket still has several
-components, their members are compared in packs, all pairs of two packs in one step, and only what connects them is
-passed on. Every link is confirmed on the full sets of 64-bit shingle hashes, built again from the whole texts.
+components, their members are compared in packs, all pairs of two packs in one step: first by sketches, then those left
+by full sets, and only what connects them is passed on. Every link is confirmed on the full sets of 64-bit shingle hashes, built again from the whole texts.
 
 Edge cases: texts of null or without a word have an empty set, link with nothing and are kept; texts with fewer words
 than a shingle have one shingle, all their words; repeated rows share a class; rows that share a doc_id but not the
@@ -137,23 +137,64 @@ def _pairs(found: DataFrame, reps: DataFrame, docs: DataFrame, k: int, threshold
     return materialize(_confirmed(materialize(_agreeing(both, threshold)), docs, k, threshold))
 
 
-def _across(rest: DataFrame, reps: DataFrame, docs: DataFrame, k: int, threshold: float) -> DataFrame:
-    """Pairs (a, b) that connect what the confirmed links between different components of a bucket connect.
+def _dealt(rest: DataFrame) -> DataFrame:
+    """rest with pc and pack: packs of about PACK_SHINGLES shingles and at most about PACK members.
 
-    rest: band, bucket, node, n, c of all members of such buckets. They are dealt to packs of about PACK_SHINGLES
-    shingles and at most about PACK members; a component that fills a pack has packs of its own, which are not compared
-    with one another. Each two other packs of a bucket meet in one row, and all their pairs are compared there at once.
+    A component that fills a pack has packs of its own (pc), which are not compared with one another.
     """
     own = rest.groupBy("band", "bucket", "c").agg(F.sum("n").alias("sn"), F.count(F.lit(1)).alias("m"))
     packs = F.ceil(F.greatest(F.col("sn") / PACK_SHINGLES, F.col("m") / PACK)).cast("int")
     own = own.withColumn("pack_c", F.when(packs > 1, F.col("c")))
     counts = own.groupBy("band", "bucket", "pack_c").agg(F.sum("sn").alias("sn"), F.sum("m").alias("m")).withColumn("packs", packs).drop("sn", "m")
-    dealt = (
+    return (
         rest.join(own.select("band", "bucket", "c", "pack_c"), ["band", "bucket", "c"])
         .join(counts.toDF("band", "bucket", "pc", "packs"), ["band", "bucket"])
         .where(F.col("pack_c").eqNullSafe(F.col("pc")))
         .withColumn("pack", F.pmod(F.xxhash64("node"), F.col("packs").cast("long")).cast("int"))
     )
+
+
+def _met(dealt: DataFrame) -> DataFrame:
+    """left and right members (node, c, items) of each two packs of a bucket that are to be compared."""
+    key = ["band", "bucket", "pc", "pack"]
+    full = materialize(dealt.groupBy(*key).agg(F.collect_list(F.struct("node", "c", "items")).alias("members")))
+    x, y = full.toDF("band", "bucket", "pc", "pack", "left"), full.toDF("band", "bucket", "qc", "qack", "right")
+    ahead = F.struct(F.coalesce("pc", F.lit(-(1 << 63))), "pack") <= F.struct(F.coalesce("qc", F.lit(-(1 << 63))), "qack")
+    return x.join(y, ["band", "bucket"]).where(ahead & (F.col("pc").isNull() | ~F.col("pc").eqNullSafe(F.col("qc"))))
+
+
+def _plausible(rest: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+    """The rows of rest whose sketch agrees, in enough bins, with that of a member of another component in their bucket.
+
+    Sketches are a tenth of full sets: whatever they rule out needs no full sets.
+    """
+    least = (threshold - SLACK) * BINS
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in parts:
+            for i in range(len(p)):
+                left, right = (p.column(j)[i].as_py() for j in (2, 3))
+                x, y = (np.frombuffer(b"".join(m["items"] for m in side), np.uint16).reshape(len(side), BINS) for side in (left, right))
+                c, d = (np.array([m["c"] for m in side], np.int64) for side in (left, right))
+                near = np.stack([(y == v).sum(1) >= least for v in x]) & (c[:, None] != d[None, :])
+                nodes = [m["node"] for side, hit in ((left, near.any(1)), (right, near.any(0))) for m, h in zip(side, hit, strict=True) if h]
+                if nodes:
+                    band, bucket = (pa.array([p.column(j)[i].as_py()] * len(nodes), p.column(j).type) for j in (0, 1))
+                    yield pa.RecordBatch.from_arrays([band, bucket, pa.array(nodes, pa.int64())], ["band", "bucket", "node"])
+
+    items = reps.select("node", F.col("sketch").alias("items"))
+    met = _met(_dealt(rest).join(items, "node")).select("band", "bucket", "left", "right")
+    near = met.mapInArrow(run, "band int, bucket long, node long").distinct()
+    return rest.join(near, ["band", "bucket", "node"], "left_semi")
+
+
+def _across(rest: DataFrame, reps: DataFrame, docs: DataFrame, k: int, threshold: float) -> DataFrame:
+    """Pairs (a, b) that connect what the confirmed links between different components of a bucket connect.
+
+    rest: band, bucket, node, n, c of all members of such buckets. Each two packs that meet
+    are compared in one row, all their pairs at once.
+    """
+    dealt = _dealt(rest)
     schema = pa.schema([("node", pa.int64()), ("items", pa.binary())])
 
     def sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,11 +204,7 @@ def _across(rest: DataFrame, reps: DataFrame, docs: DataFrame, k: int, threshold
     nodes = rest.select("node").distinct().join(reps.select("node", "text_key"), "node")
     texts = docs.select(F.md5("text").alias("text_key"), "text").join(nodes, "text_key").groupBy("node").agg(F.any_value("text").alias("text"))
     items = materialize(texts.select("node", "text").mapInArrow(sets, "node long, items binary"))
-    key = ["band", "bucket", "pc", "pack"]
-    full = materialize(dealt.join(items, "node").groupBy(*key).agg(F.collect_list(F.struct("node", "c", "items")).alias("members")))
-    x, y = full.toDF("band", "bucket", "pc", "pack", "left"), full.toDF("band", "bucket", "qc", "qack", "right")
-    ahead = F.struct(F.coalesce("pc", F.lit(-(1 << 63))), "pack") <= F.struct(F.coalesce("qc", F.lit(-(1 << 63))), "qack")
-    met = x.join(y, ["band", "bucket"]).where(ahead & (F.col("pc").isNull() | ~F.col("pc").eqNullSafe(F.col("qc"))))
+    met = _met(dealt.join(items, "node"))
     percent = round(threshold * 100)
 
     def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,6 +294,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> Data
     named = shared.join(labels, "node", "left").select("band", "bucket", "node", "n", F.coalesce("component", "node").alias("c"))
     open_ = named.groupBy("band", "bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("band", "bucket")
     rest = materialize(named.join(open_, ["band", "bucket"], "left_semi"))
+    rest = materialize(_plausible(rest, reps, threshold))
     more = materialize(_across(rest, reps, docs, k, threshold))
     links = links.union(more)
     labels = components(links)
