@@ -9,7 +9,7 @@ Links: rows with equal shingle sets form a class, and only class representatives
 are cut into bands; at the thresholds used here a pair that reaches the threshold misses all of the bands with a
 probability below 1e-6. Within a band's bucket members are linked to the bucket's least member first, so that a large
 group of copies costs a pair for each member and band, not one for each two. Where a bucket still has several
-components, their members are compared in packs, all pairs of two packs in one step, and only what connects them is
+components (of buckets with the same members, one), their members are compared in packs, all pairs of two packs in one step, and only what connects them is
 passed on. Every link is confirmed on the full sets of 64-bit shingle hashes, built again from the whole texts.
 
 Edge cases: texts of null or without a word have an empty set, link with nothing and are kept; texts with fewer words
@@ -256,7 +256,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> Data
     # what the stars left apart within a bucket is compared in packs of members
     named = shared.join(labels, "node", "left").select("band", "bucket", "node", "n", F.coalesce("component", "node").alias("c"))
     open_ = named.groupBy("band", "bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("band", "bucket")
-    rest = materialize(named.join(open_, ["band", "bucket"], "left_semi"))
+    rest = named.join(open_, ["band", "bucket"], "left_semi")
+    # near texts share several buckets: those with the same members are compared once
+    members = [F.count(F.lit(1)).alias("m"), F.min("node").alias("x"), F.max("node").alias("y"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("h")]
+    same = rest.groupBy("band", "bucket").agg(*members).groupBy("m", "x", "y", "h").agg(F.min(F.struct("band", "bucket")).alias("one"))
+    rest = materialize(rest.join(same.select("one.*"), ["band", "bucket"], "left_semi"))
     more = materialize(_across(rest, reps, docs, k, threshold))
     links = links.union(more)
     labels = components(links)
