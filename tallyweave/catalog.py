@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweave.plans import linking, scalar
+from tallyweave.plans import linking, reporting, scalar
 
-MODULES = [scalar, linking]
+MODULES = [scalar, linking, reporting]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
