@@ -11,6 +11,8 @@ doc_id are ordered by text; a table without rows gives files without rows; extra
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -57,8 +59,9 @@ class LibraryEncoder(dict):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(data)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = self.library.model
+        added = [re.escape(x["content"]) for x in json.loads(data).get("added_tokens") or [] if x["content"]]
+        self.added = re.compile("|".join(added) or r"(?!)")  # the library cuts a text at these before all else
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -75,7 +78,7 @@ class LibraryEncoder(dict):
         return value
 
     def ids(self, text: str) -> np.ndarray:
-        if not text or WIDE_SPACE.search(text):
+        if not text or WIDE_SPACE.search(text) or self.added.search(text):
             return np.frombuffer(self.whole(text), "<u4")
         first, *rest = text.replace("\n", " \n").split(" ")
         return np.frombuffer(b"".join([self.whole(first), *map(self.__getitem__, rest)]), "<u4")

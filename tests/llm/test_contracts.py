@@ -113,6 +113,17 @@ def test_op3(spark, sf_dir, rows):
         start += len(ids)
 
 
+def test_op3_texts_with_an_added_token(spark, tmp_path):
+    coder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["12 34 <|endoftext|> 56", "<|endoftext|>", "a<|endoftext|><|endoftext|>b\n <|endoftext|>", "<|endoftext |> one", "two words\nand more"]
+    found, start = by_id(spark, "op3_packing", write(tmp_path, [(i, t, None, None) for i, t in enumerate(texts)])), 0
+    for i, t in enumerate(texts):
+        ids = [*coder.encode(t, add_special_tokens=False).ids, 0]
+        assert (50256 in ids) == ("<|endoftext|>" in t)
+        assert (found[i]["start"], found[i]["n_tokens"], found[i]["ids_crc32"]) == (start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))), i
+        start += len(ids)
+
+
 def test_op4(spark, sf_dir, rows):
     found = by_id(spark, "op4_language", sf_dir)
     right = []
