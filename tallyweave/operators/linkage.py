@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,9 @@ from .lineage import settled
 c = F.col
 CARRIED = ("of", "ov", "perfil")
 TOP_K = 10
+#: Lines of a value from which on it gives no candidates alone; an order always does.
+CAP = 500
+IDENTITY = (("of_eff", "of_code", None), ("ov_eff", "ov", CAP), ("modelo_written", "modelo", CAP), ("perfil_eff", "perfil", CAP))
 
 
 def carry_down(rows: DataFrame) -> DataFrame:
@@ -70,12 +75,46 @@ def tolerance_join(left: DataFrame, right: DataFrame, x: str, y: str, tolerance:
     return near.join(right.where(c(y).isNotNull()).withColumn("_b", F.floor(c(y) / tolerance)), "_b").where(F.abs(c(x) - c(y)) <= tolerance).drop("_b")
 
 
+def field_key(field: str, s):
+    """What must be equal for an exact hit: codes with or without their prefix, profiles in the plan's form."""
+    if field == "perfil":
+        return N.profile_key(s)
+    return F.regexp_replace(N.zero_o_key(s), "^0[FV]" if field == "ov" else "^0F", "")
+
+
+def field_form(field: str, s):
+    """The form in which fuzzy hits are looked for."""
+    return N.profile_key(s) if field == "perfil" else N.normalize_code(s)
+
+
+def lines_of(rows: DataFrame, hits: DataFrame, keyed: DataFrame, written: str, on: str) -> DataFrame:
+    return rows.select("sheet_uid", "pos", written).join(hits, written).join(keyed.select(on, "plan_key"), on).select("sheet_uid", "pos", "plan_key")
+
+
 def candidates(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """The lines of the row's order where the plan has it; else the lines of its model, however many."""
+    """The lines of the row's order where the plan has it. Else the exact hits of each identity field and, for a field
+    without any, the lines of its most similar values; values on more than CAP lines give none, except orders. A row
+    that finds nothing so takes its exact hits however many.
+    """
     by_order = exact_candidates(rows, plan, "of_eff", "of_code")
     orders = plan.select(order_key(c("of_code")).alias("k")).distinct()
-    rest = rows.join(orders, order_key(c("of_eff")) == c("k"), "left_anti")
-    return by_order.unionByName(exact_candidates(rest, plan, "modelo_written", "modelo"))
+    rest = settled(rows.select("sheet_uid", "pos", *(w for w, _, _ in IDENTITY)).join(orders, order_key(c("of_eff")) == c("k"), "left_anti"))
+    found, again = [], []
+    for written, field, cap in IDENTITY:
+        values = rest.where(N.written(c(written)).isNotNull()).select(written).distinct().select(written, field_key(field, c(written)).alias("k"), field_form(field, c(written)).alias("w"))
+        forms = plan.groupBy(field).agg(F.count(F.lit(1)).alias("m")).select(field, "m", field_key(field, c(field)).alias("k"), field_form(field, c(field)).alias("v")).where((c("v") != "") & (c("k") != ""))
+        keyed = plan.select(field, "plan_key").join(forms.select(field, "k", "v"), field)
+        few = c("m") <= cap if cap else F.lit(True)
+        exact = values.join(forms.groupBy("k").agg(F.sum("m").alias("m")).where(few), "k").select(written, "k")
+        pending = values.where("w != ''").join(exact, written, "left_anti")
+        known = forms.groupBy("v").agg(F.sum("m").alias("m"))
+        near = fuzzy_top(pending.select("w").distinct(), known.select("v")).join(known.where(few), "v").join(pending, "w").select(written, "v")
+        found += [lines_of(rest, exact, keyed, written, "k"), lines_of(rest, near, keyed, written, "v")]
+        again.append((written, values.select(written, "k"), keyed))
+    once = settled(reduce(DataFrame.unionByName, found).distinct())
+    none = rest.join(once, ["sheet_uid", "pos"], "left_anti")
+    uncapped = reduce(DataFrame.unionByName, (lines_of(none, values, keyed, written, "k") for written, values, keyed in again)).distinct()
+    return by_order.unionByName(once).unionByName(uncapped)
 
 
 def weights(plan: DataFrame, field: str) -> DataFrame:
@@ -91,11 +130,20 @@ def score_pairs(rows: DataFrame, plan: DataFrame, pairs: DataFrame) -> DataFrame
     total, agree = F.lit(0).cast("long"), F.lit(0)
     for written, field, code in (("of_eff", "of_code", True), ("ov_eff", "ov", True), ("perfil_eff", "perfil", False), ("modelo_written", "modelo", True)):
         if field == "perfil":
-            sim = F.when(N.profile_key(c(written)) == N.profile_key(c(field)), 1.0).otherwise(0.0)
+            form = N.profile_key
+            same = form(c(written)) == form(c(field))
         else:
-            sim = F.when(order_key(c(written)) == order_key(c(field)), 1.0).otherwise(S.ratio(F.regexp_replace(N.compact(c(written)), "^O[FV]", ""), F.regexp_replace(N.compact(c(field)), "^O[FV]", "")))
-        distinct = base.where(c(written).isNotNull()).select(written, field).distinct().withColumn("sim", sim).join(weights(plan, field), field)
-        bits = S.identity_bits(c("sim"), F.lit(0.0), c(f"w_{field}"), F.lit(False), F.lit(False), code)
+            form = lambda x: F.regexp_replace(N.compact(x), "^O[FV]", "")
+            same = order_key(c(written)) == order_key(c(field))
+        distinct = base.where(c(written).isNotNull()).select(written, field).distinct().withColumn("x", form(c(written))).withColumn("y", form(c(field)))
+        distinct = distinct.withColumn("sim", F.when(same, 1.0).otherwise(S.ratio(c("x"), c("y")))).join(weights(plan, field), field)
+        cost = F.when(c("sim") < S.NEAR, S.align_cost(c("x"), c("y")))  # the alignment decides below that only
+        distinct = distinct.withColumn("channel", F.coalesce(S.channel_evidence(cost.cast("double")), F.lit(0.0)))
+        present = F.lit(False)
+        if code:
+            there = plan.select(field_key(field, c(field)).alias("k"), F.lit(True).alias("present")).distinct()
+            distinct, present = distinct.join(there, field_key(field, c(written)) == c("k"), "left"), c("present").isNotNull()
+        bits = S.identity_bits(c("sim"), c("channel"), c(f"w_{field}"), present, F.lit(False), code)
         scored = distinct.select(written, field, S.micro_bits(bits).alias(f"b_{field}"), (c("sim") >= 0.55).cast("int").alias(f"a_{field}"))
         p = p.join(scored, [written, field], "left")
         total, agree = total + F.coalesce(f"b_{field}", F.lit(0)), agree + F.coalesce(f"a_{field}", F.lit(0))
@@ -128,3 +176,10 @@ def link(rows: DataFrame, plan: DataFrame) -> DataFrame:
     plan, carried = settled(plan), settled(carry_down(rows))
     scored = score_pairs(carried, plan, candidates(carried, plan))
     return matches(rank_candidates(scored), plan.agg(F.count(F.lit(1)).alias("n")))
+
+
+def link_all(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """link() with every sheet row: mode no_match, probability 0 and no line where nothing is found."""
+    every = rows.select("sheet_uid", "pos").join(link(rows, plan), ["sheet_uid", "pos"], "left")
+    none = c("mode").isNull()
+    return every.select("sheet_uid", "pos", "plan_key", "bits", "agree", F.coalesce("margin", F.lit(0)).alias("margin"), F.coalesce("mode", F.lit("no_match")).alias("mode"), F.when(none, 0.0).otherwise(c("p")).alias("p"))

@@ -55,7 +55,7 @@ def scored_of(t):
 
 
 def matched_of(t):
-    return L.link(t.rows, t.plan)
+    return L.link_all(t.rows, t.plan)
 
 
 @query("link_rows", f"WITH {CARRY}, {CANDS}, {SCORED}, {MATCHED} SELECT * FROM matched")
@@ -135,7 +135,7 @@ def _(t):
 
 @query("j3_candidates", f"WITH {CARRY}, {CANDS} SELECT * FROM cands")
 def _(t):
-    return L.candidates(L.carry_down(t.rows), t.plan)
+    return L.candidates(settled(L.carry_down(t.rows)), settled(t.plan))
 
 
 @query("j4_fuzzy_topk", f"""WITH w AS (SELECT DISTINCT upper(modelo_written) AS w FROM sheet_rows WHERE contains(modelo_written, 'S')), v AS (SELECT DISTINCT modelo AS v FROM plan_lines),
@@ -183,13 +183,13 @@ def _(t):
 @query("a19_scenario_report", f"WITH {CARRY}, {CANDS}, {SCORED}, {MATCHED} SELECT m.mode, count(*) AS n, sum(CASE WHEN m.plan_key = r.true_plan_key THEN 1 ELSE 0 END) AS correct FROM sheet_rows r JOIN matched m ON r.sheet_uid = m.sheet_uid AND r.pos = m.pos GROUP BY m.mode")
 def _(t):
     m = matched_of(t).join(t.rows.select(*KEY, "true_plan_key"), list(KEY))
-    return m.groupBy("mode").agg(F.count(F.lit(1)).alias("n"), F.sum((c("plan_key") == c("true_plan_key")).cast("long")).alias("correct"))
+    return m.groupBy("mode").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(c("plan_key") == c("true_plan_key"), F.lit(False)).cast("long")).alias("correct"))
 
 
 @query("a20_brier", f"WITH {CARRY}, {CANDS}, {SCORED}, {MATCHED}, temps AS (SELECT unnest([1.0, 1.5, 2.0, 2.5, 3.0, 4.0]) AS temperature) SELECT CAST(temperature AS DOUBLE) AS temperature, round(avg(pow(pow(p, 2.0 / temperature) - CASE WHEN m.plan_key = r.true_plan_key THEN 1 ELSE 0 END, 2)), 6) AS brier FROM sheet_rows r JOIN matched m ON r.sheet_uid = m.sheet_uid AND r.pos = m.pos, temps GROUP BY temperature")
 def _(t):
     m = matched_of(t).join(t.rows.select(*KEY, "true_plan_key"), list(KEY)).select("*", F.explode(F.array(*map(F.lit, (1.0, 1.5, 2.0, 2.5, 3.0, 4.0)))).alias("temperature"))
-    return m.groupBy("temperature").agg(F.round(F.avg(F.pow(F.pow("p", 2.0 / c("temperature")) - (c("plan_key") == c("true_plan_key")).cast("int"), 2)), 6).alias("brier"))
+    return m.groupBy("temperature").agg(F.round(F.avg(F.pow(F.pow("p", 2.0 / c("temperature")) - F.coalesce(c("plan_key") == c("true_plan_key"), F.lit(False)).cast("int"), 2)), 6).alias("brier"))
 
 
 @query("a22_coverage_rate", f"WITH k AS (SELECT DISTINCT {OKEY('of_code')} AS k FROM plan_lines) SELECT round(avg(CASE WHEN k.k IS NULL THEN 0.0 ELSE 1.0 END), 6) AS rate FROM sheet_rows LEFT JOIN k ON {OKEY('of_written')} = k.k WHERE of_written IS NOT NULL")
@@ -200,6 +200,7 @@ def _(t):
 
 @query("d1_cell_status", f"WITH {CARRY}, {CANDS}, {SCORED}, {MATCHED} SELECT m.sheet_uid, m.pos, CASE WHEN r.modelo_written IS NULL THEN 'snapped' WHEN r.modelo_written = p.modelo THEN 'confirmed' WHEN {RATIO('r.modelo_written', 'p.modelo')} >= 0.8 THEN 'snapped' ELSE 'very_different' END AS status FROM matched m JOIN sheet_rows r ON m.sheet_uid = r.sheet_uid AND m.pos = r.pos JOIN plan_lines p ON p.plan_key = m.plan_key")
 def _(t):
-    m = matched_of(t).join(t.rows, list(KEY)).join(t.plan.select("plan_key", "modelo"), "plan_key")
+    m = matched_of(t).join(t.rows, list(KEY)).join(t.plan.select("plan_key", "modelo"), "plan_key", "left")
     w = c("modelo_written")
-    return m.select(*KEY, F.when(w.isNull(), "snapped").when(w == c("modelo"), "confirmed").when(S.ratio(w, c("modelo")) >= 0.8, "snapped").otherwise("very_different").alias("status"))
+    none = F.when(w.isNull(), "na").otherwise("unmatched")
+    return m.select(*KEY, F.when(c("mode") == "no_match", none).when(w.isNull(), "snapped").when(w == c("modelo"), "confirmed").when(S.ratio(w, c("modelo")) >= 0.8, "snapped").otherwise("very_different").alias("status"))
