@@ -54,18 +54,40 @@ def exact_candidates(rows: DataFrame, plan: DataFrame, written: str, field: str,
     return rows.where(c(written).isNotNull()).select("sheet_uid", "pos", order_key(c(written)).alias("k")).join(keyed, "k").select("sheet_uid", "pos", "plan_key")
 
 
+def shortened(s, most: int):
+    """s and all that is left of it without at most so many of its characters."""
+    out = F.array(s)
+    for _ in range(most):
+        less = lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))), lambda i: F.concat(x.substr(F.lit(1), i - 1), x.substr(i + 1, F.length(x))))
+        out = F.array_distinct(F.flatten(F.transform(out, lambda x: F.concat(F.array(x), less(x)))))
+    return out
+
+
 def fuzzy_top(values: DataFrame, known: DataFrame, k: int = TOP_K, least: float = 0.6) -> DataFrame:
-    """w, v, sim: for each distinct written value the k most similar known ones, lengths within three.
+    """w, v, sim, rank: for each distinct written value the k most similar known ones, lengths within three.
 
-    The length joins by equality of buckets, so that the plan has no nested loop.
+    Values at most d edits apart are equal after at most d deletions in each, so they join by equality. Whoever has k
+    of these that are more similar than d + 1 edits allow is done; only the others are held against all of near length.
     """
-    x = values.select("w", F.explode(F.sequence(F.greatest(F.length("w") - 3, F.lit(1)), F.length("w") + 3)).alias("n"))
-    y = known.select("v", F.length("v").alias("n"))
+    rest, out = settled(values.where("w is not null")), []
+    known = known.where("v is not null")
     longest = F.greatest(F.length("w"), F.length("v"))
-    # letters of one that the other lacks bound the distance from below
-    near = x.join(y, "n").where(F.levenshtein("w", "v") <= F.floor((1 - least) * longest + 1e-9)).withColumn("sim", S.ratio(c("w"), c("v"))).where(c("sim") >= least)
     rank = F.row_number().over(Window.partitionBy("w").orderBy(c("sim").desc(), c("v").desc()))
-    return near.withColumn("rank", rank).where(c("rank") <= k).select("w", "v", "sim", "rank")
+
+    def best(pairs: DataFrame) -> DataFrame:
+        alike = pairs.where(F.levenshtein("w", "v") <= F.floor((1 - least) * longest + 1e-9)).withColumn("sim", S.ratio(c("w"), c("v"))).where(c("sim") >= least)
+        return alike.withColumn("rank", rank).where(c("rank") <= k).select("w", "v", "sim", "rank")
+
+    for d in (1, 2):
+        pairs = rest.select("w", F.explode(shortened(c("w"), d)).alias("n")).join(known.select("v", F.explode(shortened(c("v"), d)).alias("n")), "n").select("w", "v").distinct()
+        sure = S.ratio(c("w"), c("v")) > 1 - (d + 1) / (F.length("w") + 3)
+        top = settled(best(pairs.where((F.abs(F.length("w") - F.length("v")) <= 3) & sure)))
+        done = top.where(c("rank") == k).select("w")
+        out.append(top.join(done, "w", "left_semi"))
+        rest = settled(rest.join(done, "w", "left_anti"))
+    x = rest.select("w", F.explode(F.sequence(F.greatest(F.length("w") - 3, F.lit(1)), F.length("w") + 3)).alias("n"))
+    out.append(best(x.join(known.select("v", F.length("v").alias("n")), "n")))
+    return reduce(DataFrame.unionByName, out)
 
 
 def tolerance_join(left: DataFrame, right: DataFrame, x: str, y: str, tolerance: float) -> DataFrame:

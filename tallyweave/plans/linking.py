@@ -141,7 +141,7 @@ def _(t):
 @query("j4_fuzzy_topk", f"""WITH w AS (SELECT DISTINCT upper(modelo_written) AS w FROM sheet_rows WHERE contains(modelo_written, 'S')), v AS (SELECT DISTINCT modelo AS v FROM plan_lines),
 n AS (SELECT w, v, {RATIO('w', 'v')} AS sim FROM w JOIN v ON abs(length(w) - length(v)) <= 3 WHERE {RATIO('w', 'v')} >= 0.6), r AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY sim DESC, v DESC) AS rank FROM n) SELECT * FROM r WHERE rank <= 10""")
 def _(t):
-    return L.fuzzy_top(t.rows.where(c("modelo_written").contains("S")).select(F.upper("modelo_written").alias("w")).distinct(), t.plan.select(c("modelo").alias("v")).distinct())
+    return L.fuzzy_top(t.rows.where("modelo_written is not null").select(F.upper("modelo_written").alias("w")).distinct(), t.plan.select(c("modelo").alias("v")).distinct())
 
 
 @query("j5_tolerance_join", "WITH a AS (SELECT p_partkey, p_retailprice AS x FROM part WHERE p_partkey % 5 = 0), b AS (SELECT p_partkey AS other, p_retailprice AS y FROM part) SELECT p_partkey, other FROM a JOIN b ON abs(x - y) <= 1.5")
