@@ -130,7 +130,7 @@ def _(t):
 
 @query("j2_exact_candidates_capped", f"WITH k AS (SELECT {OKEY('modelo')} AS k, plan_key FROM plan_lines) SELECT sheet_uid, pos, plan_key FROM sheet_rows JOIN k ON {OKEY('modelo_written')} = k WHERE k IN (SELECT k FROM k GROUP BY k HAVING count(*) <= 35)")
 def _(t):
-    return L.exact_candidates(t.rows, t.plan, "modelo_written", "modelo", 35)
+    return L.exact_candidates(t.rows, t.plan, "modelo_written", "modelo", L.CAP)
 
 
 @query("j3_candidates", f"WITH {CARRY}, {CANDS} SELECT * FROM cands")
@@ -147,7 +147,7 @@ def _(t):
 @query("j5_tolerance_join", "WITH a AS (SELECT p_partkey, p_retailprice AS x FROM part WHERE p_partkey % 5 = 0), b AS (SELECT p_partkey AS other, p_retailprice AS y FROM part) SELECT p_partkey, other FROM a JOIN b ON abs(x - y) <= 1.5")
 def _(t):
     p = t.base("part")
-    return L.tolerance_join(p.where("p_partkey % 5 = 0").select("p_partkey", c("p_retailprice").alias("x")), p.select(c("p_partkey").alias("other"), c("p_retailprice").alias("y")), "x", "y", 1.5).select("p_partkey", "other")
+    return L.tolerance_join(p.select("p_partkey", c("p_retailprice").alias("x")), p.select(c("p_partkey").alias("other"), c("p_retailprice").alias("y")), "x", "y", 1.5).select("p_partkey", "other")
 
 
 @query("j9_anchor_expand", f"WITH {CARRY}, a AS (SELECT DISTINCT sheet_uid, {OKEY('of_eff')} AS k FROM carried WHERE of_eff IS NOT NULL) SELECT a.sheet_uid, plan_key FROM a JOIN plan_lines ON a.k = {OKEY('of_code')}")

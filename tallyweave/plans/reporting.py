@@ -100,7 +100,7 @@ def _(t):
 @query("j22_plan_vs_validated", """WITH p AS (SELECT of_code, sum(qtd_planeada) AS planned FROM plan_lines WHERE plan_key NOT LIKE '%7:%' GROUP BY of_code), f AS (SELECT of_code, sum(qtd) AS made, count(*) AS facts, max(sheet_date) AS last_day FROM facts WHERE l_linestatus = 'F' GROUP BY of_code)
 SELECT coalesce(p.of_code, f.of_code) AS of_code, planned, made, facts, last_day, p.of_code IS NULL AS without_plan FROM p FULL JOIN f ON p.of_code = f.of_code""")
 def _(t):
-    return R.plan_against_facts(t.plan.where("plan_key not like '%7:%'"), t.facts.where("l_linestatus = 'F'"))
+    return R.plan_against_facts(t.plan, t.facts)
 
 
 @query("x1_expand_full_profile", f"""WITH {CARRY}, j AS (SELECT sheet_uid, pos, plan_key, p.qtd_restante, bool_and(coalesce(p.falta_valida AND p.qtd_restante >= 0, false)) OVER (PARTITION BY sheet_uid, pos) AS sound
