@@ -123,14 +123,14 @@ def candidates(rows: DataFrame, plan: DataFrame) -> DataFrame:
     rest = settled(rows.select("sheet_uid", "pos", *(w for w, _, _ in IDENTITY)).join(orders, order_key(c("of_eff")) == c("k"), "left_anti"))
     found, again = [], []
     for written, field, cap in IDENTITY:
-        values = rest.where(N.written(c(written)).isNotNull()).select(written).distinct().select(written, field_key(field, c(written)).alias("k"), field_form(field, c(written)).alias("w"))
-        forms = plan.groupBy(field).agg(F.count(F.lit(1)).alias("m")).select(field, "m", field_key(field, c(field)).alias("k"), field_form(field, c(field)).alias("v")).where((c("v") != "") & (c("k") != ""))
+        values = settled(rest.where(N.written(c(written)).isNotNull()).select(written).distinct().select(written, field_key(field, c(written)).alias("k"), field_form(field, c(written)).alias("w")))
+        forms = settled(plan.groupBy(field).agg(F.count(F.lit(1)).alias("m")).select(field, "m", field_key(field, c(field)).alias("k"), field_form(field, c(field)).alias("v")).where((c("v") != "") & (c("k") != "")))
         keyed = plan.select(field, "plan_key").join(forms.select(field, "k", "v"), field)
         few = c("m") <= cap if cap else F.lit(True)
         exact = values.join(forms.groupBy("k").agg(F.sum("m").alias("m")).where(few), "k").select(written, "k")
         pending = values.where("w != ''").join(exact, written, "left_anti")
         known = forms.groupBy("v").agg(F.sum("m").alias("m"))
-        near = fuzzy_top(pending.select("w").distinct(), known.select("v")).join(known.where(few), "v").join(pending, "w").select(written, "v")
+        near = settled(fuzzy_top(pending.select("w").distinct(), known.select("v")).join(known.where(few), "v").join(pending, "w").select(written, "v"))
         found += [lines_of(rest, exact, keyed, written, "k"), lines_of(rest, near, keyed, written, "v")]
         again.append((written, values.select(written, "k"), keyed))
     once = settled(reduce(DataFrame.unionByName, found).distinct())
