@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -11,6 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyweave.operators.lineage import discard, scratch_dir
+from tallyweave.operators.lineage import settled as materialize
+
+__all__ = ["WORD", "batches", "discard", "doc_crc", "documents", "free_names", "hash_share", "materialize", "mix", "quoted", "raw", "scratch_dir"]
+
 #: ASCII white space that separates words: 0x20 and 0x09 to 0x0D, the set that bytes.split() uses.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -19,20 +22,20 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a folder of its own only where that is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tallyweave-{uuid.uuid4().hex}"
+def free_names(columns: Iterable[str], *wanted: str) -> list[str]:
+    """The wanted names, made longer until no given column has them in any case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df once to the shared folder and read it back: cuts the lineage, and survives lost executors."""
-    path = scratch_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def quoted(columns: Iterable[str]) -> list[Column]:
+    """Columns by their whole names, dots included."""
+    return [F.col(f"`{c}`") for c in columns]
 
 
 def doc_crc(doc_id: Column) -> Column:

@@ -12,7 +12,6 @@ Edge cases: null texts and texts without a letter are ``und`` with score 0; with
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +33,6 @@ SCRIPTS = [(0x41, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "arme
 _STARTS = np.array([x for x, _ in SCRIPTS])
 _NAMES = sorted({x for _, x in SCRIPTS})
 _CODES = np.array([_NAMES.index(x) for _, x in SCRIPTS])
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
 def scripts_of(words: list[str]) -> np.ndarray:
@@ -43,7 +41,8 @@ def scripts_of(words: list[str]) -> np.ndarray:
 
 
 def letters_of(word: str) -> str:
-    return word.lower() if word.isalpha() else _NOT_LETTERS.sub("", word).lower()
+    """Only letters: no digits of any kind, marks or symbols."""
+    return word.lower() if word.isalpha() else "".join(filter(str.isalpha, word)).lower()
 
 
 def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:

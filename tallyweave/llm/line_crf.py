@@ -4,8 +4,10 @@ Base rules count words, symbols, repeated lines and repeated 3-word windows. The
 field marks each line of a text content or boilerplate, by Viterbi over marks of the line (symbols, capitals, repeats,
 bars and so on) and of neighbouring labels; a text stays if content lines hold at least CONTENT of its words.
 
-The field is trained here: lines of rows labelled 1 are content, those of rows labelled 0 boilerplate, on up to
-MAX_LABELLED labelled rows taken by hash (the only limit; texts are used whole), by the gradient of its likelihood.
+The field is trained here, on up to MAX_LABELLED labelled rows taken by hash, each with up to PIECES runs of LINES lines
+spread evenly over the whole text; these bounds are the only limits, and only of training. Lines of rows labelled 1 are
+content. Which lines of rows labelled 0 are boilerplate is not known: at first all of them count so, then the field
+labels them itself, and is fitted to that again, ROUNDS times. So it learns from texts whose labels change inside.
 
 Edge cases: null texts count as empty: no words, base_failed; without labels of both kinds every line is content;
 repeated rows give repeated results; an empty table gives no rows; extra columns are ignored.
@@ -23,7 +25,8 @@ from pyspark.sql import functions as F
 from .common import batches, documents, raw
 from .quality import WordHash, labelled_sample, repeated_windows
 
-MAX_LABELLED, STEPS, CONTENT = 6000, 60, 0.5
+MAX_LABELLED, PIECES, LINES = 6000, 4, 48
+STEPS, ROUNDS, CONTENT = 60, 3, 0.7
 LEAST_WORDS, MOST_REPEATED = 50, 50  # words; percent
 SYMBOLS, SPACES = b"#*$%&|<>", b" \t\n\x0b\x0c\r"
 _OTHER = bytes(set(range(256)) - set(SYMBOLS))
@@ -101,16 +104,16 @@ class _Steps:
         return np.split(values[self.where], np.cumsum(self.sizes)[:-1]) if len(self.sizes) else []
 
 
-def train(texts: list[np.ndarray], label: np.ndarray) -> Field:
-    """Gradient ascent (Adam) on the mean log likelihood of label sequences that are constant in a text."""
+def train(texts: list[np.ndarray], labels: list[np.ndarray], start: Field | None = None) -> Field:
+    """Gradient ascent (Adam) on the mean log likelihood of label sequences, from another field's weights if given."""
     steps = _Steps([len(x) for x in texts])
     x = steps.packed(np.concatenate(texts))
-    y = steps.packed(np.repeat(label, steps.sizes).astype(np.int64))
-    w, n = np.zeros(N_MARKS + 4), len(y)
+    y = steps.packed(np.concatenate(labels).astype(np.int64))
+    w, n = np.concatenate([start.emit, start.move.ravel()]) if start else np.zeros(N_MARKS + 4), len(y)
     m, v = np.zeros_like(w), np.zeros_like(w)
     pairs = np.zeros((2, 2))
-    for c in (0, 1):
-        pairs[c, c] = (steps.sizes[label == c] - 1).sum()
+    for own in labels:
+        np.add.at(pairs, (own[:-1], own[1:]), 1)
     seen = np.concatenate([x.T @ y, pairs.ravel()])
     add = lambda a, b: np.logaddexp(a, b)
     for i in range(1, STEPS + 1):
@@ -139,16 +142,39 @@ def train(texts: list[np.ndarray], label: np.ndarray) -> Field:
     return Field(w[:N_MARKS], w[N_MARKS:].reshape(2, 2))
 
 
+def learn(texts: list[np.ndarray], good: np.ndarray, rounds: int = ROUNDS) -> Field:
+    """texts: marks of lines; good: which texts are labelled 1. Labels of the others' lines are found on the way."""
+    labels = [np.full(len(x), int(not g), np.int8) for x, g in zip(texts, good, strict=True)]
+    field, bad = train(texts, labels), np.flatnonzero(~good)
+    for _ in range(rounds):
+        alone = Field(field.emit, np.zeros((2, 2)))  # by marks only: the weights of changes are to follow from the labels found
+        for i, own in zip(bad, alone.labels([texts[i] for i in bad]), strict=True):
+            labels[i] = own
+        field = train(texts, labels, field)
+    return field
+
+
+def pieces_of(marks: list[list[float]]) -> list[np.ndarray]:
+    """All lines, or PIECES runs of LINES of them, the first and the last at the ends of the text."""
+    x = np.array(marks, np.float32).reshape(-1, N_MARKS)
+    if len(x) <= PIECES * LINES:
+        return [x] if len(x) else []
+    return [x[a : a + LINES] for a in np.linspace(0, len(x) - LINES, PIECES).astype(int)]
+
+
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column, bound: int = MAX_LABELLED) -> Field | None:
-    schema = pa.schema([("x", pa.list_(pa.list_(pa.float64()))), ("quality", pa.int32())])
+    schema = pa.schema([("x", pa.binary()), ("quality", pa.int32())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from batches(((lines_of(t)[0], q) for p in parts for t, q in zip(raw(p.column(0)), p.column(1).to_pylist(), strict=True)), schema, 200)
+        yield from batches(((x.tobytes(), q) for p in parts for t, q in zip(raw(p.column(0)), p.column(1).to_pylist(), strict=True) for x in pieces_of(lines_of(t)[0])), schema, 200)
 
     sample = labelled_sample(docs, labels, allowed, bound).select("text", F.col("quality").cast("int").alias("quality"))
-    rows = sorted((r["quality"], r["x"]) for r in sample.mapInArrow(run, "x array<array<double>>, quality int").collect() if r["x"])  # nine numbers for each line of about ``bound`` rows
-    label = np.array([1 - r[0] for r in rows])
-    return train([np.array(r[1]) for r in rows], label) if len(rows) and 0 < label.sum() < len(label) else None
+    # at most PIECES * LINES times N_MARKS numbers for each of about ``bound`` rows
+    rows = sorted((r["quality"], bytes(r["x"])) for r in sample.mapInArrow(run, "x binary, quality int").collect())
+    good = np.array([r[0] != 0 for r in rows], bool)
+    if not len(rows) or good.all() or not good.any():
+        return None
+    return learn([np.frombuffer(r[1], np.float32).reshape(-1, N_MARKS).astype(np.float64) for r in rows], good)
 
 
 def rules(docs: DataFrame, field: Field | None) -> DataFrame:

@@ -26,10 +26,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batches, documents, materialize, mix, raw
+from .common import batches, discard, documents, free_names, materialize, mix, raw
 
 BINS, BAND = 120, 4
 CACHE = 300_000
@@ -103,13 +103,21 @@ def _agreeing(pairs: DataFrame, threshold: float) -> DataFrame:
         for p in parts:
             if len(p):
                 x, y = (np.frombuffer(b"".join(p.column(c).to_pylist()), np.uint16).reshape(len(p), BINS) for c in ("sa", "sb"))
-                yield p.select(["a", "b", "ta", "tb"]).filter(pa.array((x == y).sum(1) >= least))
+                yield p.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= least))
 
-    return pairs.select("a", "b", "ta", "tb", "sa", "sb").mapInArrow(run, "a long, b long, ta string, tb string")
+    return pairs.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, threshold: float) -> DataFrame:
-    """a, b of pairs (with the text keys ta, tb) whose full shingle sets reach the threshold."""
+def _texts(docs: DataFrame, nodes: DataFrame, reps: DataFrame) -> DataFrame:
+    """node and text of each of the distinct nodes: the text of its representative's own row, found by doc_id, so that
+    no task meets all copies of a text."""
+    wanted = nodes.join(reps.select("node", "doc_id", "text_key"), "node")
+    found = docs.select("doc_id", "text").join(wanted, "doc_id").where(F.md5("text") == F.col("text_key"))
+    return found.groupBy("doc_id", "text_key", "node").agg(F.any_value("text").alias("text")).select("node", "text")
+
+
+def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, threshold: float) -> DataFrame:
+    """a, b of pairs whose full shingle sets reach the threshold."""
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, percent = _WordHash(), round(threshold * 100)
         last: tuple = (None, None)
@@ -123,18 +131,21 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, threshold: float) -> D
                 keep.append(100 * both >= percent * (len(s) + len(t) - both))
             yield p.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    texts = docs.select(F.md5("text").alias("key"), "text").where(F.col("text").isNotNull())
-    needed = pairs.select(F.col("ta").alias("key")).union(pairs.select("tb")).distinct()
-    texts = materialize(texts.join(needed, "key", "left_semi").groupBy("key").agg(F.any_value("text").alias("text")))
-    full = pairs.join(texts.toDF("ta", "xa"), "ta").join(texts.toDF("tb", "xb"), "tb")
-    return full.select("a", "b", "xa", "xb").mapInArrow(run, "a long, b long")
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    texts = materialize(_texts(docs, nodes, reps))
+    full = pairs.join(texts.toDF("a", "xa"), "a").join(texts.toDF("b", "xb"), "b")
+    links = materialize(full.select("a", "b", "xa", "xb").mapInArrow(run, "a long, b long"))
+    discard(texts)
+    return links
 
 
 def _pairs(found: DataFrame, reps: DataFrame, docs: DataFrame, k: int, threshold: float) -> DataFrame:
     """Confirmed links among distinct pairs (a, b) of representatives."""
-    r = reps.select("node", "text_key", "sketch")
-    both = found.join(r.toDF("a", "ta", "sa"), "a").join(r.toDF("b", "tb", "sb"), "b")
-    return materialize(_confirmed(materialize(_agreeing(both, threshold)), docs, k, threshold))
+    r = reps.select("node", "sketch")
+    near = materialize(_agreeing(found.join(r.toDF("a", "sa"), "a").join(r.toDF("b", "sb"), "b"), threshold))
+    links = _confirmed(near, reps, docs, k, threshold)
+    discard(near)
+    return links
 
 
 def _across(rest: DataFrame, reps: DataFrame, docs: DataFrame, k: int, threshold: float) -> DataFrame:
@@ -160,9 +171,8 @@ def _across(rest: DataFrame, reps: DataFrame, docs: DataFrame, k: int, threshold
         words = _WordHash()
         yield from batches(((i, shingles(t, k, words).tobytes()) for p in parts for i, t in zip(p.column(0).to_pylist(), raw(p.column(1)), strict=True)), schema)
 
-    nodes = rest.select("node").distinct().join(reps.select("node", "text_key"), "node")
-    texts = docs.select(F.md5("text").alias("text_key"), "text").join(nodes, "text_key").groupBy("node").agg(F.any_value("text").alias("text"))
-    items = materialize(texts.select("node", "text").mapInArrow(sets, "node long, items binary"))
+    texts = _texts(docs, rest.select("node").distinct(), reps)
+    items = materialize(texts.mapInArrow(sets, "node long, items binary"))
     key = ["band", "bucket", "pc", "pack"]
     full = materialize(dealt.join(items, "node").groupBy(*key).agg(F.collect_list(F.struct("node", "c", "items")).alias("members")))
     x, y = full.toDF("band", "bucket", "pc", "pack", "left"), full.toDF("band", "bucket", "qc", "qack", "right")
@@ -182,7 +192,9 @@ def _across(rest: DataFrame, reps: DataFrame, docs: DataFrame, k: int, threshold
                 pairs = _spanning(a, b, linked)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
-    return met.select("left", "right").mapInArrow(compare, "a long, b long").distinct()
+    links = materialize(met.select("left", "right").mapInArrow(compare, "a long, b long").distinct())
+    discard(items, full)
+    return links
 
 
 def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -225,15 +237,17 @@ def _spanning(a: np.ndarray, b: np.ndarray, linked: np.ndarray) -> tuple[np.ndar
 def components(links: DataFrame) -> DataFrame:
     """node, component (least node) of all nodes in links (a, b). Each round halves the distance to the least node."""
     edges = materialize(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct())
-    labels = materialize(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("component")))
+    labels = held = materialize(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("component")))
     while True:
         near = edges.join(labels.toDF("b", "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         step = labels.join(near, "node").select("node", "component", F.least("component", "near").alias("next"))
         jump = labels.toDF("next", "far")
         step = materialize(step.join(jump, "next", "left").select("node", "component", F.least("next", F.coalesce("far", "next")).alias("next")))
-        moved = step.where("next <> component").limit(1).count()
+        discard(held)
+        held, moved = step, step.where("next <> component").limit(1).count()
         labels = step.select("node", F.col("next").alias("component"))
         if not moved:
+            discard(edges)
             return labels
 
 
@@ -243,7 +257,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> Data
     least = F.min(F.struct("doc_id", "text_key", "n", "sketch")).alias("r")
     classes = rows.where("n > 0 and doc_id is not null").groupBy("set_key").agg(least).select("set_key", "r.*")
     # a node is a class: its least doc_id, unless rows of several classes share that
-    node = F.when(F.count(F.lit(1)).over(_by("doc_id")) == 1, F.col("doc_id")).otherwise(-1 - F.abs(F.xxhash64("set_key") / 2).cast("long"))
+    node = F.when(F.count(F.lit(1)).over(Window.partitionBy("doc_id")) == 1, F.col("doc_id")).otherwise(-1 - F.abs(F.xxhash64("set_key") / 2).cast("long"))
     reps = materialize(classes.withColumn("node", node))
     band = F.expr(f"transform(sequence(0, {BINS // BAND - 1}), i -> xxhash64(i, substring(sketch, i * {2 * BAND} + 1, {2 * BAND})))")
     banded = reps.select("node", "n", F.posexplode(band).alias("band", "bucket"))
@@ -261,9 +275,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> Data
     members = [F.count(F.lit(1)).alias("m"), F.min("node").alias("x"), F.max("node").alias("y"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("h")]
     same = rest.groupBy("band", "bucket").agg(*members).groupBy("m", "x", "y", "h").agg(F.min(F.struct("band", "bucket")).alias("one"))
     rest = materialize(rest.join(same.select("one.*"), ["band", "bucket"], "left_semi"))
-    more = materialize(_across(rest, reps, docs, k, threshold))
-    links = links.union(more)
-    labels = components(links)
+    more = _across(rest, reps, docs, k, threshold)
+    labels = components(links.union(more))
+    discard(shared, rest, links, more)
     named = reps.select("node", "set_key", F.col("doc_id").alias("least")).join(labels, "node", "left")
     # components are named by their least doc_id
     names = named.groupBy(F.coalesce("component", "node").alias("c")).agg(F.min("least").alias("component_id"))
@@ -273,18 +287,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> Data
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), own.eqNullSafe(F.col("doc_id")).alias("kept"), "text_key")
 
 
-def _by(column: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(column)
-
-
 def deduplicated(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFrame:
     """The rows of docs that are kept: one of each component; of repeated rows with one doc_id and text, one."""
     found = near_duplicates(docs, k, threshold).where("kept").groupBy("doc_id", "text_key").agg(F.any_value("n_shingles").alias("n"))
-    keyed = docs.withColumn("_key", F.md5("text")).dropDuplicates(["doc_id", "_key"])
-    found = found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text"))
-    return keyed.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_key").eqNullSafe(F.col("_text")), "left_semi").drop("_key")
+    key, own, text = free_names(docs.columns, "_key", "_id", "_text")
+    keyed = docs.withColumn(key, F.md5("text")).dropDuplicates(["doc_id", key])
+    found = found.select(F.col("doc_id").alias(own), F.col("text_key").alias(text))
+    return keyed.join(found, F.col("doc_id").eqNullSafe(F.col(own)) & F.col(key).eqNullSafe(F.col(text)), "left_semi").drop(key)
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, materialize
+from .common import WORD, discard, documents, materialize, quoted
 
 WEIGHTS = (3.0, 1.0, 2.0)
 BUDGET, CAP, SEED, BLOCK = 1.5, 2.0, "mix-1", 4096
@@ -87,10 +87,21 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The rows of docs themselves, each as often as the mix takes it; columns as before."""
-    sized = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "source", n_words(F.col("text")).alias("size"))
-    taken = with_copies(sized).where(F.col("copies") > 0)
-    return taken.select("_row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
+    """The rows of docs themselves, each as often as the mix takes it; columns as before.
+
+    The mix is worked out on ids, sources and sizes alone; whole rows move once, to meet their number of copies by a
+    hash of all columns. Rows that are equal in all columns share the copies of all of them. Columns of types that have
+    no hash (maps) are carried but not compared.
+    """
+    plain = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    key = F.xxhash64(F.lit(SEED), *quoted(plain))
+    slim = materialize(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("key")))
+    copies = materialize(with_copies(slim).groupBy("key").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("n")).where("copies > 0"))
+    discard(slim)
+    rows = docs.select(F.struct(*quoted(docs.columns)).alias("row"), key.alias("key")).join(copies, "key")
+    place = F.row_number().over(Window.partitionBy("key").orderBy("key"))
+    times = rows.select("row", (F.floor(F.col("copies") / F.col("n")) + (place <= F.col("copies") % F.col("n")).cast("int")).alias("times"))
+    return times.select("row", F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int")))).select("row.*")
 
 
 OP5_SQL = r"""

@@ -14,11 +14,14 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from array import array
+from codecs import charmap_decode
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -51,26 +54,53 @@ def unpack_bits(packed: bytes, bits: int, start: int, n: int) -> np.ndarray:
     return flat[first % 8 : first % 8 + n * bits].reshape(n, bits).astype(np.uint32) @ (np.uint32(1) << np.arange(bits, dtype=np.uint32))
 
 
+def _visible() -> str:
+    """The library's form of the 256 bytes: printable Latin-1 characters stand for themselves, the others for those from 256 on."""
+    kept = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    other = iter(range(256, 512))
+    return "".join(chr(b if b in kept else next(other)) for b in range(256))
+
+
 class LibraryEncoder(dict):
-    """The tokenizers library's ids of a text; words that stand between single spaces are encoded once and kept."""
+    """The tokenizers library's ids of a text; words that stand between single spaces are encoded once and kept.
+
+    Such a word falls into matches of the pattern; the library's model encodes each match, in its form of bytes, once.
+    Other texts, and those with an added token's string, go through the library whole.
+    """
+
+    VISIBLE = _visible()
+    MARKS = ".,;:!?#$%&*|<>"  # none of them a letter, a digit or a space: together they are one match
 
     def __init__(self, data: str):
         super().__init__()
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(data)
-        self.model = self.library.model
+        self.model, self.split, self.tails = self.library.model, regex.compile(public_tokenizers.PATTERN).findall, {}
         added = [re.escape(x["content"]) for x in json.loads(data).get("added_tokens") or [] if x["content"]]
         self.added = re.compile("|".join(added) or r"(?!)")  # the library cuts a text at these before all else
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def piece(self, piece: str) -> bytes:
+        ids = [x.id for x in self.model.tokenize(charmap_decode(piece.encode(), "strict", self.VISIBLE)[0])]
+        return array("I", ids).tobytes()
+
+    def tail(self, marks: str) -> bytes:
+        if (value := self.tails.get(marks)) is None:
+            value = self.piece(marks)
+            if len(marks) <= 4:
+                self.tails[marks] = value
+        return value
+
     def __missing__(self, word: str) -> bytes:
-        if word.isascii() and word.isalpha():  # the library's form of a space and a word
-            value = np.array([x.id for x in self.model.tokenize("Ġ" + word)], "<u4").tobytes()
+        if word.isalpha():  # one match, with the space before it
+            value = self.piece(" " + word)
+        elif (core := word.rstrip(self.MARKS)).isalpha():
+            value = self[core] + self.tail(word[len(core) :])
         else:
-            value = self.whole(word if word[:1] == "\n" else " " + word)
+            value = b"".join(map(self.piece, self.split(word if word[:1] == "\n" else " " + word)))
         if len(word) <= 64:
             if len(self) >= CACHE:
                 self.clear()

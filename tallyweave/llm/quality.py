@@ -2,9 +2,10 @@
 
 A text has a vector of statistics. Its worth is a weighted sum of them, learned from pairs of a text marked 1 and one
 marked 0 by logistic loss on the difference of their vectors, so that the first is worth more. The threshold is the
-quantile of worths at the share of 0 among the labelled rows; scores are a logistic curve of worth that is 0.3 there.
+quantile of worths at the share of 0, both over all labelled rows; scores are a logistic curve of worth that is 0.3 there.
 
-Fitted on up to MAX_LABELLED labelled rows, taken by hash: that bound is the only limit, texts are used whole.
+The weights are fitted on up to MAX_LABELLED labelled rows, taken by hash: that bound is the only limit, texts are used
+whole. The quantile is exact to one rank in ACCURACY.
 
 Edge cases: null texts count as empty and are scored as such; without labels of both kinds each score is 0.5; a
 doc_id labelled twice has its lower label; repeated rows give repeated results; an empty table gives no rows; extra
@@ -20,11 +21,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import batches, doc_crc, documents, hash_share, mix, raw
+from .common import batches, discard, doc_crc, documents, hash_share, materialize, mix, quoted, raw
 
 MAX_LABELLED, PAIRS, STEPS = 20_000, 40_000, 25
-CUT = 0.3
+CUT, ACCURACY = 0.3, 1_000_000
 CACHE = 300_000
 FEATURES = ("log_words", "word_length", "distinct", "repeated_windows", "repeated_next", "capitals", "digits", "exclamations", "symbols", "bars", "stops", "line_ends", "other_marks", "letters", "repeated_lines")
 
@@ -69,22 +71,28 @@ def vector(text: bytes, words: WordHash) -> list[float]:
     ]
 
 
+def known_labels(labels: DataFrame, allowed: Column) -> DataFrame:
+    """doc_id and its (lower) quality."""
+    return labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality")).where(allowed)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, allowed: Column, bound: int = MAX_LABELLED) -> DataFrame:
     """text and quality of about ``bound`` labelled rows; only their labels, of that bound, are broadcast."""
-    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality")).where(allowed)
+    known = known_labels(labels, allowed)
     taken = known.where(hash_share(F.col("doc_id"), known.count(), bound))
     return docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id").select("text", "quality")
 
 
 class Model:
-    def __init__(self, mean: np.ndarray, scale: np.ndarray, weight: np.ndarray, cut: float):
-        self.mean, self.scale, self.weight, self.cut = mean, scale, weight, cut
+    """What texts are worth."""
 
-    def worth(self, x: np.ndarray) -> np.ndarray:
-        return shaped(x, self.mean, self.scale) @ self.weight
+    def __init__(self, mean: np.ndarray, scale: np.ndarray, weight: np.ndarray):
+        self.mean, self.scale, self.weight = mean, scale, weight
 
-    def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.worth(x) - self.cut + np.log(CUT / (1 - CUT)), -40, 40)))
+    def worth(self, texts: list[bytes], words: WordHash) -> np.ndarray:
+        if not texts:
+            return np.zeros(0)
+        return shaped(np.array([vector(t, words) for t in texts]), self.mean, self.scale) @ self.weight
 
 
 def shaped(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
@@ -113,32 +121,58 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, bound: int = MAX_LA
         p = 1 / (1 + np.exp(np.clip(diff @ w, -40, 40)))  # how far each pair is from certain
         step = np.linalg.solve((diff * (p * (1 - p))[:, None]).T @ diff / PAIRS + ridge * np.eye(len(w)), diff.T @ p / PAIRS - ridge * w)
         w += step * min(1.0, 4.0 / (np.abs(step).max() + 1e-12))
-    return Model(mean, scale, w, float(np.quantile(z @ w, 1 - y.mean(), method="midpoint")))
+    return Model(mean, scale, w)
 
 
-def scored(docs: DataFrame, model: Model | None, *keep: str) -> DataFrame:
-    """The kept columns and score of each row."""
+def worths(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id and worth of each row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, own = WordHash(), shared.value
+        words = WordHash()
         for p in parts:
-            texts = raw(p.column("text"))
-            score = own.score(np.array([vector(t, words) for t in texts])) if own and texts else np.full(len(texts), 0.5)
-            yield pa.RecordBatch.from_arrays([*(p.column(c) for c in keep), pa.array(score, pa.float64())], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([p.column(0), pa.array(shared.value.worth(raw(p.column(1)), words), pa.float64())], ["doc_id", "worth"])
 
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, f"{fields}, score double")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, worth double")
+
+
+def threshold(found: DataFrame, labels: DataFrame, allowed: Column) -> float:
+    """The worth below which as many of all labelled rows lie as are labelled 0."""
+    known = found.join(known_labels(labels, allowed), "doc_id")
+    share = known.agg(F.avg((F.col("quality") == 0).cast("double"))).first()[0]
+    cut = known.agg(F.percentile_approx("worth", F.lit(share), F.lit(ACCURACY))).first()[0] if share is not None else 0.0
+    return float(np.nextafter(cut, np.inf))  # the row at the quantile itself is one of those below
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns from labels whose crc32(doc_id) mod 5 is not 0, scores all."""
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     out = doc_crc(F.col("doc_id")) % 5 == 0
-    found = scored(docs, fit(docs, labels, ~out), "doc_id")
+    if model := fit(docs, labels, ~out):
+        found = materialize(worths(docs, model))
+        above = F.col("worth") - F.lit(threshold(found, labels, ~out))
+        score = 1 / (1 + F.exp(-F.least(F.greatest(above + F.lit(float(np.log(CUT / (1 - CUT)))), F.lit(-40.0)), F.lit(40.0))))
+    else:
+        found, score, above = docs.select("doc_id"), F.lit(0.5), F.lit(0.0)
+    # the score at the threshold itself is CUT, but for rounding
+    found = found.select("doc_id", F.when(above >= 0, F.greatest(score, F.lit(CUT))).otherwise(F.least(score, F.lit(float(np.nextafter(CUT, 0))))).alias("score"))
     return found.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
 
 def good_enough(docs: DataFrame, labels: DataFrame, allowed: Column) -> DataFrame:
-    """The rows of docs that the classifier doesn't reject."""
-    return scored(docs, fit(docs, labels, allowed), *docs.columns).where(F.col("score") >= CUT).drop("score")
+    """The rows of docs that the classifier doesn't reject, with all their columns; all of them without a model."""
+    model = fit(docs, labels, allowed)
+    if model is None:
+        return docs
+    found = materialize(worths(docs, model))
+    cut = threshold(found, labels, allowed)
+    discard(found)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordHash()
+        for p in parts:
+            yield p.select(["row"]).filter(pa.array(shared.value.worth(raw(p.column("text")), words) >= cut, pa.bool_()))
+
+    rows = docs.select(F.struct(*quoted(docs.columns)).alias("row"), "text")
+    return rows.mapInArrow(run, StructType().add("row", rows.schema["row"].dataType)).select("row.*")

@@ -32,8 +32,9 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructType
 
-from .common import batches, documents, materialize, mix, raw
+from .common import batches, documents, free_names, materialize, mix, quoted, raw
 
 DEPTH, GRAM = 50, 25
 #: A difference cover: each residue modulo PERIOD is a difference of two elements of COVER.
@@ -63,8 +64,8 @@ _INVERSE = _powers(pow(_BASE, -1, 1 << 64), CHUNK + DEPTH)
 def _blocks(docs: DataFrame, keep: bool) -> DataFrame:
     """block, doc_ids, sizes, body (compressed texts one after another) and, if asked for, the other columns."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text")] if keep else []
-    slim = docs.select("doc_id", "text", F.struct(*rest, F.lit(0).alias("_")).alias("rest"))
-    kind = slim.schema["rest"].dataType.simpleString()
+    slim = docs.select("doc_id", "text", F.struct(*quoted(rest), F.lit(0).alias(free_names(rest, "_")[0])).alias("rest"))
+    fields = StructType().add("block", "long").add("doc_ids", ArrayType(LongType())).add("sizes", ArrayType(LongType())).add("body", "binary").add("rest", ArrayType(slim.schema["rest"].dataType))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, seq, pack = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(3)
@@ -85,7 +86,7 @@ def _blocks(docs: DataFrame, keep: bool) -> DataFrame:
         if ids:
             yield block()
 
-    return materialize(slim.mapInArrow(run, f"block long, doc_ids array<long>, sizes array<long>, body binary, rest array<{kind}>"))
+    return materialize(slim.mapInArrow(run, fields))
 
 
 class Block:
@@ -341,8 +342,9 @@ def merged(start: np.ndarray, end: np.ndarray, doc: np.ndarray | None = None) ->
 
 
 def _results(blocks: DataFrame, spans: DataFrame, keep: bool) -> DataFrame:
-    kind = blocks.schema["rest"].dataType.elementType.simpleString()
-    fields = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + f", text string, rest {kind}" * keep
+    fields = StructType().add("doc_id", "long").add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string")
+    if keep:
+        fields = fields.add("text", "string").add("rest", blocks.schema["rest"].dataType.elementType)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
