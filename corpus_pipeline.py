@@ -1,4 +1,11 @@
-"""From raw documents to token ids: five stages, each over all that the one before it kept."""
+"""From raw documents to token ids: five stages, each over all that the one before it kept.
+
+Edge cases of all stages: columns of any name besides those of documents stay as they are; null texts are empty; an
+empty table gives no rows. quality: without labels of both kinds every row stays. near_dedup: rows without a word stay;
+a row without doc_id goes if a row that has one is its near copy; of rows with one doc_id and text one stays.
+repeat_removal: a null doc_id counts as the largest; n_chars follows the text. mixing: rows may repeat or go, as
+the mix takes them. encoding: one row of digests for each row.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave.llm.bpe import VOCABULARY, encode_documents
-from tallyweave.llm.common import documents, materialize
+from tallyweave.llm.common import discard, documents, materialize
 from tallyweave.llm.minhash import deduplicated
 from tallyweave.llm.mixing import mixed
 from tallyweave.llm.quality import good_enough
@@ -37,12 +44,13 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("repeat_removal", repeat_removal), ("mixing", mixing), ("encoding", encoding)]
 
-#: Its stages fit a model, compare sets and encode bytes: no SQL for them; tests hold them against brute force.
+#: Its stages fit a model, compare sets and encode bytes: no SQL for them; tests/llm holds their operators against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        before, docs = docs, materialize(stage(spark, docs, sf_dir))
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
