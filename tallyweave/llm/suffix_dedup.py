@@ -5,7 +5,9 @@
    equal distances, so only runs with equal anchor hashes can share a window.
 2. Anchor and content hashes of each block's distinct runs go to buckets of the hash. Runs of equal content are settled
    there: all but those of the least doc_id go. Runs whose anchor also has other content are left for the next step.
-3. For those the bytes go to buckets, and each bucket is settled by blockwise suffix sorting: one group of suffixes
+3. For those the bytes go to buckets of a longer string, the anchor and SIDE bytes before it (windows that hold these) or
+   behind it (all others), so that a phrase of many contexts spreads out; each bucket is settled by blockwise suffix
+   sorting: one group of suffixes
    (by first byte) is sorted at a time, by its first PERIOD bytes; longer ties are resolved by the ranks of
    difference-cover samples and the last PERIOD bytes. Samples of DEPTH - PERIOD + 1 bytes are ranked once a bucket.
    As bytes are laid out with anchors at multiples of PERIOD, equal windows have equal residues and need one shift
@@ -13,7 +15,8 @@
 4. Spans are merged for each document.
 
 Memory is bounded by a block (BLOCK bytes and one text) and by a bucket, whose number grows with the input. A passage
-that many documents share is one run for each block at most when it is sent.
+that many documents share is one run for each block at most when it is sent. What is left in one bucket of step 2 is a
+record of 17 bytes for each different run of one anchor in each block.
 
 Edge cases: null texts are empty; texts below DEPTH bytes lose nothing; rows that share a doc_id do not remove each
 other's bytes; a null doc_id counts as the largest; an empty table gives no rows; extra columns are ignored, or kept
@@ -37,6 +40,7 @@ from pyspark.sql.types import ArrayType, LongType, StructType
 from .common import batches, documents, free_names, materialize, mix, quoted, raw
 
 DEPTH, GRAM = 50, 25
+SIDE = (DEPTH - GRAM + 1) // 2
 #: A difference cover: each residue modulo PERIOD is a difference of two elements of COVER.
 PERIOD, COVER = 13, (0, 1, 3, 9)
 SAMPLE = DEPTH - PERIOD + 1
@@ -99,12 +103,13 @@ class Block:
         self.ends = np.cumsum(np.array(sizes, np.int64))
 
     def runs(self) -> tuple[np.ndarray, ...]:
-        """first window, last window, anchor, anchor hash, content hash, document (place in ids) of each run."""
+        """first window, last window, anchor, anchor hash, content hash, document (place in ids), and hashes of the anchor
+        with SIDE bytes before and behind it (of use where windows hold them) of each run."""
         found = [r for c in range(0, max(0, len(self.bytes) - DEPTH + 1), CHUNK) if (r := self._chunk(c))]
         if not found:
-            return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.int64))
-        first, last, at, h, s = (np.concatenate(x) for x in zip(*found, strict=True))
-        return first, last, at, h, s, np.searchsorted(self.ends, first, "right")
+            return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.int64, np.uint64, np.uint64))
+        first, last, at, h, s, before, behind = (np.concatenate(x) for x in zip(*found, strict=True))
+        return first, last, at, h, s, np.searchsorted(self.ends, first, "right"), before, behind
 
     def _chunk(self, c: int) -> tuple | None:
         text = self.bytes[c : c + CHUNK + DEPTH - 1]
@@ -133,7 +138,9 @@ class Block:
         at = at[first]
         whole = (total[last + DEPTH] - total[first]) * _POWER[first]
         content = mix(whole + ((at - first) * 64 + (last - first)).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        return first + c, last + c, at + c, grams[at], content
+        context = lambda x: mix((total[np.minimum(x + GRAM + SIDE, len(text))] - total[x]) * _POWER[x])
+        # an anchor is a least hash: mixed once more, as its leading bits choose the bucket
+        return first + c, last + c, at + c, mix(grams[at]), content, context(np.maximum(at - SIDE, 0)), context(at)
 
     def distinct(self) -> tuple:
         """Runs in order of hash, content and document; place of each group's first; and the group of each run."""
@@ -229,7 +236,7 @@ def _apply(blocks: DataFrame, answers: DataFrame, log_buckets: int) -> DataFrame
                     runs, lead, group = own.distinct()
                     if not len(lead):
                         continue
-                    first, last, at, h, _, doc = runs
+                    first, last, at, h, _, doc, before, behind = runs
                     bucket = (h[lead] >> np.uint64(64 - log_buckets)).astype(np.int64)
                     gone, open_ = np.zeros(len(lead), bool), np.zeros(len(lead), bool)
                     for x in flags or []:
@@ -243,12 +250,17 @@ def _apply(blocks: DataFrame, answers: DataFrame, log_buckets: int) -> DataFrame
                     spans = merged(first[settled], last[settled] + DEPTH, doc[settled])
                     yield 0, block, None, len(spans[0]), _planes(spans[0], 5) + _planes(spans[1], 5)
                     k = np.flatnonzero(open_[group] & ~later)
-                    own_bucket = bucket[group[k]]
-                    cuts = np.flatnonzero(np.diff(own_bucket, prepend=-1))
-                    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(k)]):
-                        j = k[a:b]
-                        bodies = b"".join(own.text[x:y] for x, y in zip(first[j].tolist(), (last[j] + DEPTH).tolist()))
-                        yield 1, block, int(own_bucket[a]), b - a, _planes(ids_of[j].view(np.uint64), 8) + _planes(first[j], 5) + _planes(last[j] - first[j], 2) + _planes(at[j] - first[j], 2) + bodies
+                    sides = (before, first, np.minimum(last, at - SIDE)), (behind, np.maximum(first, at - SIDE + 1), last)
+                    for context, low, high in sides:
+                        own_k = k[low[k] <= high[k]]
+                        own_bucket = (context[own_k] >> np.uint64(64 - log_buckets)).astype(np.int64)
+                        order = np.argsort(own_bucket, kind="stable")
+                        own_k, own_bucket = own_k[order], own_bucket[order]
+                        cuts = np.flatnonzero(np.diff(own_bucket, prepend=-1))
+                        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(own_k)]):
+                            j = own_k[a:b]
+                            bodies = b"".join(own.text[x:y] for x, y in zip(low[j].tolist(), (high[j] + DEPTH).tolist()))
+                            yield 1, block, int(own_bucket[a]), b - a, _planes(ids_of[j].view(np.uint64), 8) + _planes(low[j], 5) + _planes(high[j] - low[j], 2) + _planes(at[j] - low[j], 2) + bodies
 
         yield from batches(rows(), schema, 64)
 
