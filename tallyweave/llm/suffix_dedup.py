@@ -145,7 +145,7 @@ class Block:
     def distinct(self) -> tuple:
         """Runs in order of hash, content and document; place of each group's first; and the group of each run."""
         runs = self.runs()
-        first, _, _, h, s, doc = runs
+        first, _, _, h, s, doc, *_ = runs
         order = np.lexsort((first, self.ids[doc] if len(doc) else doc, s, h))
         runs = tuple(x[order] for x in runs)
         h, s = runs[3], runs[4]
