@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweave.plans import linking, reporting, scalar
+from tallyweave.plans import balances, decisions, linking, lists, reporting, scalar, transfer
 
-MODULES = [scalar, linking, reporting]
+MODULES = [scalar, linking, reporting, balances, decisions, lists, transfer]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -78,3 +78,56 @@ def identity_bits(similarity: Column, channel: Column, weight: Column, known: Co
     g = F.when(similarity >= 0.8, F.greatest(channel, F.lit(0.3))).otherwise(channel)
     miss = DISAGREE_CODE if code else DISAGREE_TEXT
     return F.when(blank, 0.0).when(similarity >= 1, weight).when(similarity >= NEAR, weight * NEAR_FACTOR).when(channel > 0, g * weight).when(known, VETO).otherwise(miss)
+
+
+#: Fixed values of the second scorer, in bits.
+CODE_WEIGHTS = (("of", 12.0), ("ov", 7.0), ("modelo", 10.0))
+LENGTH_BITS, SPLIT_COST, MATERIAL_SAME, MATERIAL_OTHER = 6.0, 6.5, 2.0, -4.0
+#: Bits of dimensions that agree or not.
+DIM_FLOOR, DIM_CAP, DIM_DISAGREE, DIM_DISAGREE_CAP = 0.1, 12.0, -2.5, -5.0
+
+
+def profile_score(w: Column, t: Column, material: Column | None = None) -> Column:
+    """Bits of a written profile against a plan's, both parsed; material may name the plan's family where it has none."""
+    dims, truth = w["dims"], t["dims"]
+    family = F.when(t["family"] == "", N.family_for_material(material)).otherwise(t["family"]) if material is not None else t["family"]
+    n, m = F.size(dims), F.size(truth)
+    within = lambda least, first=None: F.forall(
+        F.sequence(F.lit(0), F.least(n, m) - 1),
+        lambda i: F.abs(F.get(dims, i) - F.get(truth, i)) <= F.greatest(F.when(i == 0, F.lit(first or least)).otherwise(F.lit(least)), F.abs(F.get(truth, i)) * F.lit(0.01) if least != 0.001 else F.lit(0.0)),
+    )
+    sized = F.when(within(0.001) & (n == m), 10.0).when(within(0.001) & (n < m), 7.0).when((n < m) & within(0.05, 0.5), 6.0).when((n == m) & within(0.01), 4.0).otherwise(-10.0)
+    alike = ratio(w["key"], t["key"])
+    text = F.when(w["key"] == t["key"], 4.0).when(alike >= 0.8, 2.0 * alike).otherwise(-4.0)
+    conflict = (w["family"] != "") & (family != "") & (w["family"] != family)
+    return F.when(w["literal"] == "", 0.0).when(t["literal"] == "", -3.0).when(conflict, -14.0).when((n > 0) & (m > 0), sized).otherwise(text)
+
+
+def length_score(written: Column, truth: Column) -> Column:
+    """Bits of a written length: full within a millimetre, then down by two for each half per cent; -2 if the plan has none."""
+    gap = F.abs(written - truth)
+    return F.when(truth.isNull(), -2.0).when(gap <= 1, LENGTH_BITS).otherwise(F.greatest(F.lit(-8.0), LENGTH_BITS - (gap - 1) / F.greatest(F.lit(1.0), F.abs(truth) * 0.005) * 2.0))
+
+
+def code_evidence(field: str, written: Column, truth: Column, channel: Column, orders: Column) -> Column:
+    """Bits of a code in the second scorer; a sales order counts less the more orders it has."""
+    w = F.lit(dict(CODE_WEIGHTS)[field])
+    if field == "ov":
+        w = w * F.greatest(F.lit(0.7), 1.0 - 0.1 * F.log2(F.greatest(orders, F.lit(1)).cast("double")))
+    alike = ratio(written, truth)
+    near = F.when(alike >= 0.9, F.greatest(F.lit(0.45), channel) * w).when(channel > 0, channel * w).otherwise(-0.55 * w)
+    return F.when(F.coalesce(written, F.lit("")) == "", 0.0).when(F.coalesce(truth, F.lit("")) == "", -0.25 * w).when(written == truth, w).otherwise(near)
+
+
+def geometry_evidence(w: Column, t: Column, written_material: Column, plan_material: Column, cut: Column, length: Column) -> Column:
+    """Bits of one reading of profile, length and material together; cut: a length that the reading splits off, or null."""
+    both = (written_material != "") & (plan_material != "")
+    material = F.when(both, F.when(written_material == plan_material, MATERIAL_SAME).otherwise(MATERIAL_OTHER)).otherwise(0.0)
+    return profile_score(w, t) + material - w["ocr_cost"] + F.when(cut.isNotNull(), length_score(cut.cast("double"), length) - SPLIT_COST).otherwise(0.0)
+
+
+def dims_evidence(n_agree: Column, joint: Column, n_disagree: Column, total: Column) -> Column:
+    """Bits of dimensions scored together: joint is the number of plan lines that agree in all that agree here."""
+    share = F.greatest(joint / F.greatest(total, F.lit(1)), F.pow(F.lit(DIM_FLOOR), n_agree), F.lit(1e-9))
+    agree = F.when(n_agree > 0, F.least(-F.log2(share), F.lit(DIM_CAP))).otherwise(0.0)
+    return agree + F.when(n_disagree > 0, F.greatest(F.lit(DIM_DISAGREE_CAP), n_disagree * DIM_DISAGREE)).otherwise(0.0)

@@ -139,6 +139,97 @@ def candidates(rows: DataFrame, plan: DataFrame) -> DataFrame:
     return by_order.unionByName(once).unionByName(uncapped)
 
 
+def anchored_candidates(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """The lines of the row's order where the plan has it; else the exact hits of each field under the cap."""
+    by_order = exact_candidates(rows, plan, "of_eff", "of_code")
+    return by_order.unionByName(_exact(without_order(rows, plan), plan, CAP).distinct())
+
+
+def uncapped_candidates(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """For rows without any exact candidate under the cap, all exact hits."""
+    rest = settled(without_order(rows, plan))
+    none = rest.join(_exact(rest, plan, CAP).select("sheet_uid", "pos").distinct(), ["sheet_uid", "pos"], "left_anti")
+    return _exact(none, plan, None).distinct()
+
+
+def without_order(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    orders = plan.select(order_key(c("of_code")).alias("k")).distinct()
+    return rows.join(orders, order_key(c("of_eff")) == c("k"), "left_anti")
+
+
+def _exact(rows: DataFrame, plan: DataFrame, cap: int | None) -> DataFrame:
+    found = []
+    for written, field, _ in IDENTITY[1:]:
+        keyed = plan.select(field_key(field, c(field)).alias("k"), "plan_key")
+        if cap:
+            few = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("m")).where(c("m") <= cap).select("k")
+            keyed = keyed.join(few, "k", "left_semi")
+        asked = rows.where(N.written(c(written)).isNotNull()).select("sheet_uid", "pos", field_key(field, c(written)).alias("k"))
+        found.append(asked.join(keyed, "k").select("sheet_uid", "pos", "plan_key"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def dims_candidates(rows: DataFrame, lines: DataFrame, key: str, line_key: str, tolerances: dict[str, float], cap: int = CAP) -> DataFrame:
+    """key, line_key of lines within all tolerances of a row's dimensions, the first ``cap`` by line_key.
+
+    Rows and lines meet by buckets of all dimensions at once, as wide as the tolerances, and their neighbours.
+    """
+    near, far = rows, lines.select(line_key, *(c(d).alias(f"_{d}") for d in tolerances))
+    for d, tolerance in tolerances.items():
+        b = F.floor(c(d) / tolerance)
+        near = near.withColumn(f"_b{d}", F.explode(F.sequence(b - 1, b + 1)))
+        far = far.withColumn(f"_b{d}", F.floor(c(f"_{d}") / tolerance))
+    within = reduce(lambda x, y: x & y, (F.abs(c(d) - c(f"_{d}")) <= tolerance for d, tolerance in tolerances.items()))
+    pairs = near.join(far, [f"_b{d}" for d in tolerances]).where(within).select(key, line_key)
+    return pairs.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(line_key))).where(c("_k") <= cap).drop("_k")
+
+
+def effective_rows(carried: DataFrame) -> DataFrame:
+    """Adds of, ov, perfil (the cell's own value, else what is carried to it) and of_inherited."""
+    for f in CARRIED:
+        carried = carried.withColumn(f, F.coalesce(N.written(c(f"{f}_written")), c(f"{f}_eff")))
+    return carried.withColumn("of_inherited", F.coalesce(c("of_from") != c("pos"), F.lit(False)))
+
+
+def measure_m(rows: DataFrame, plan: DataFrame, least: int = 30) -> DataFrame:
+    """field, m, total: how often a written value agrees with its true line's, for fields written often enough."""
+    pairs = rows.join(plan.select(c("plan_key").alias("true_plan_key"), "of_code", "ov", "modelo"), "true_plan_key")
+    sim = lambda w, f: F.when(field_key(f, c(w)) == field_key(f, c(f)), 1.0).otherwise(S.code_similarity(c(w), c(f)))
+    fields = (("of", "of_written", "of_code"), ("ov", "ov_written", "ov"), ("modelo", "modelo_written", "modelo"))
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("field"), F.when(N.written(c(w)).isNotNull(), sim(w, f)).alias("sim")) for n, w, f in fields))).alias("x")
+    found = pairs.select(each).select("x.*").where("sim is not null").groupBy("field")
+    return found.agg(F.round(F.avg((c("sim") >= 1).cast("double")), 4).alias("m"), F.count(F.lit(1)).alias("total")).where(c("total") >= least)
+
+
+def exclusions(labels: DataFrame, plan: DataFrame) -> DataFrame:
+    """sheet_uid, labels, missing_lines, missing_orders: labels whose line, or order, the plan lacks."""
+    lines = plan.select(c("plan_key").alias("true_plan_key"), F.lit(True).alias("line")).distinct()
+    orders = plan.select("of_code", F.lit(True).alias("order")).distinct()
+    found = labels.join(lines, "true_plan_key", "left").join(orders, "of_code", "left")
+    lost = lambda x: F.sum(c(x).isNull().cast("long"))
+    return found.groupBy("sheet_uid").agg(F.count(F.lit(1)).alias("labels"), lost("line").alias("missing_lines"), lost("order").alias("missing_orders"))
+
+
+def label_join(matched: DataFrame, truth: DataFrame, plan: DataFrame) -> DataFrame:
+    """sheet_uid, pos, evaluable, right_line of each labelled row; only labels in the plan can be judged."""
+    held = plan.select(c("plan_key").alias("true_plan_key"), F.lit(True).alias("held")).distinct()
+    rows = truth.join(held, "true_plan_key", "left").join(matched.select("sheet_uid", "pos", "plan_key"), ["sheet_uid", "pos"], "left")
+    right = F.coalesce(c("plan_key") == c("true_plan_key"), F.lit(False))
+    return rows.select("sheet_uid", "pos", c("held").isNotNull().alias("evaluable"), F.when(c("held").isNotNull(), right).alias("right_line"))
+
+
+#: A character for each of these that it is mistaken for.
+CONFUSED = ("05186249A3", "OSIBGZAG48")
+
+
+def glyph_noise(lines: DataFrame) -> DataFrame:
+    """lines (modelo, cliente, n) as badly read, by arithmetic on n: a character lost or confused, a name cut short."""
+    i = (c("n") % F.length("modelo")).cast("int") + 1
+    before, at, behind = F.substr("modelo", F.lit(1), i - 1), F.substr("modelo", i, F.lit(1)), F.substr("modelo", i + 1)
+    read = F.when(c("n") % 3 == 0, F.concat(before, behind)).when(c("n") % 3 == 1, F.concat(before, F.translate(at, *CONFUSED), behind)).otherwise(c("modelo"))
+    return lines.withColumn("cliente", F.when(c("n") % 4 == 0, F.substring("cliente", 1, 9)).otherwise(c("cliente"))).withColumn("modelo", read)
+
+
 def weights(plan: DataFrame, field: str) -> DataFrame:
     """Bits of each value of a plan field."""
     total = plan.agg(F.count(F.lit(1)).alias("total"))

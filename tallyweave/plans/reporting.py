@@ -97,7 +97,7 @@ def _(t):
     return R.asof_before(t.base("orders").select(c("o_orderdate").cast("date").alias("day")), t.snapshots)
 
 
-@query("j22_plan_vs_validated", """WITH p AS (SELECT of_code, sum(qtd_planeada) AS planned FROM plan_lines WHERE plan_key NOT LIKE '%7:%' GROUP BY of_code), f AS (SELECT of_code, sum(qtd) AS made, count(*) AS facts, max(sheet_date) AS last_day FROM facts WHERE l_linestatus = 'F' GROUP BY of_code)
+@query("j22_plan_vs_validated", """WITH p AS (SELECT of_code, sum(qtd_planeada) AS planned FROM plan_lines GROUP BY of_code), f AS (SELECT of_code, sum(qtd) AS made, count(*) AS facts, max(sheet_date) AS last_day FROM facts GROUP BY of_code)
 SELECT coalesce(p.of_code, f.of_code) AS of_code, planned, made, facts, last_day, p.of_code IS NULL AS without_plan FROM p FULL JOIN f ON p.of_code = f.of_code""")
 def _(t):
     return R.plan_against_facts(t.plan, t.facts)
@@ -114,12 +114,6 @@ def _(t):
     return t.facts.select("plan_key", "row_index", R.line_metres(c("qtd"), c("comp_mm")).alias("metres"))
 
 
-@query("d3_over_limit", "SELECT sheet_uid, pos, CASE WHEN qtd_written = '1.200' THEN 1200 ELSE TRY_CAST(qtd_written AS DOUBLE) END > qtd_planeada AS over_limit FROM sheet_rows JOIN plan_lines ON true_plan_key = plan_key WHERE qtd_written IS NOT NULL")
-def _(t):
-    rows = t.rows.where("qtd_written is not null").join(t.plan.select("plan_key", "qtd_planeada"), c("true_plan_key") == c("plan_key"))
-    return rows.select("sheet_uid", "pos", (N.parse_number(c("qtd_written")) > c("qtd_planeada")).alias("over_limit"))
-
-
 @query("g1_build_evidence", "SELECT sheet_uid, field_path, arg_max(coalesce(new_value, ''), id) AS value FROM edits WHERE source = 'human' AND regexp_full_match(field_path, 'rows\\[\\d+\\]\\.(of|perfil|modelo|qtd)') GROUP BY ALL")
 def _(t):
     known = t.edits.where((c("source") == "human") & c("field_path").rlike(r"^rows\[\d+\]\.(of|perfil|modelo|qtd)$"))

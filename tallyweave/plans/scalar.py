@@ -9,6 +9,12 @@ from tallyweave.functions import similarity as S
 
 from .registry import Registry
 
+#: Cost in bits of reading one text for another, by the rows of the edit table: each row is folded from the one before.
+_LOOK_ALIKE = " " + " ".join(f"{a}{b} {b}{a}" for a, b in S.GLYPH_PAIRS) + " "
+COST = lambda a, b: f"""list_reduce(list_concat([range(0, (length({b}) + 1) * 5, 5)], [[ascii(x)::BIGINT] for x in string_split(upper({a}), '')]), lambda above, ch:
+  list_reduce(list_concat([[above[1] + 5]], [[i] for i in range(1, length({b}) + 1)]), lambda own, i: list_append(own, least(own[-1] + 5, above[i[1] + 1] + 5,
+    above[i[1]] + CASE WHEN chr(ch[1]::INT) = upper({b})[i[1]] THEN 0 WHEN contains('{_LOOK_ALIKE}', ' ' || chr(ch[1]::INT) || upper({b})[i[1]] || ' ') THEN 2 ELSE 8 END))))[-1]"""
+
 query = Registry()
 QUERIES, SQL = query.QUERIES, query.SQL
 c = F.col
@@ -112,31 +118,39 @@ def _(t):
     return rows.join(known, c("p.key") == c("known"), "left").select(*KEY, F.when(literal != "", F.coalesce("known", literal)).alias("v"))
 
 
-@query("p15_profile_readings", _DIMS + ", r AS (SELECT sheet_uid, pos, array_to_string(dims, 'X') AS reading, CAST(NULL AS DOUBLE) AS cut FROM e WHERE dims IS NOT NULL UNION ALL SELECT sheet_uid, pos, array_to_string(dims[1:len(dims) - 1], 'X'), CAST(dims[-1] AS DOUBLE) FROM e WHERE len(dims) >= 3) SELECT * FROM r")
+@query("p15_profile_readings", _DIMS + ", r AS (SELECT sheet_uid, pos, CASE WHEN len(dims) = 2 THEN list_concat([dims[1]], dims) ELSE dims END AS d FROM e WHERE dims IS NOT NULL) SELECT sheet_uid, pos, array_to_string(d, 'X') AS reading, CAST(NULL AS DOUBLE) AS cut FROM r UNION ALL SELECT sheet_uid, pos, array_to_string(d[1:len(d) - 1], 'X'), CAST(d[-1] AS DOUBLE) FROM r WHERE len(d) >= 2")
 def _(t):
-    p = t.rows.select(*KEY, F.split(F.when(N.parse_profile(c("perfil_written"))["dims"].isNotNull(), F.regexp_replace(N.parse_profile(c("perfil_written"))["literal"], "^(CANTONEIRA|L)", "")), "X").alias("d")).where("d is not null")
-    whole = F.struct(F.array_join("d", "X").alias("reading"), F.lit(None).cast("double").alias("cut"))
-    split = F.struct(F.array_join(F.slice("d", F.lit(1), F.size("d") - 1), "X").alias("reading"), F.element_at("d", -1).cast("double").alias("cut"))
-    return p.select(*KEY, F.explode(F.when(F.size("d") >= 3, F.array(whole, split)).otherwise(F.array(whole))).alias("r")).select(*KEY, "r.*")
+    p = t.rows.select(*KEY, N.parse_profile(c("perfil_written")).alias("p")).where("p.dims is not null")
+    r = p.select(*KEY, F.explode(N.profile_readings(c("p"))).alias("r"))
+    return r.select(*KEY, F.array_join(F.transform("r.dims", N.decimal_text), "X").alias("reading"), c("r.cut").cast("double").alias("cut"))
+
+
+_MATERIAL_NAMES = ["Aço Inox", "inoxidável", "Aço carbono", "Cantoneira", "IPE", "Chapa", "madeira", "Tubo Quadrado"]
 
 
-@query("p16_material", "SELECT plan_key, CASE WHEN upper(maquina) LIKE '%1' THEN 'ACO' WHEN upper(maquina) LIKE '%2' THEN 'INOX' ELSE '' END AS material, CASE WHEN upper(maquina) LIKE '%2' THEN 'ROUND' ELSE 'L' END AS family FROM plan_lines")
+@query("p16_material", f"""WITH v AS (SELECT p_partkey, list_extract({_MATERIAL_NAMES}, p_partkey % 8 + 1) AS v FROM part), k AS (SELECT *, {COMPACT('v')} AS k FROM v)
+SELECT p_partkey, CASE WHEN k IN ('INOX', 'INOXIDAVEL', 'ACOINOX', 'ACOINOXIDAVEL') THEN 'INOX' WHEN k = 'ACOCARBONO' THEN 'CARBON_STEEL' ELSE '' END AS material,
+  CASE k WHEN 'CANTONEIRA' THEN 'L' WHEN 'IPE' THEN 'IPE' WHEN 'CHAPA' THEN 'CHAPA' WHEN 'TUBOQUADRADO' THEN 'SQUARE' ELSE '' END AS family FROM k""")
 def _(t):
-    last = F.substring("maquina", -1, 1)
-    kinds = F.create_map(F.lit("1"), F.lit("ACO"), F.lit("2"), F.lit("INOX"))
-    return t.plan.select("plan_key", F.coalesce(kinds[last], F.lit("")).alias("material"), F.when(kinds[last] == "INOX", "ROUND").otherwise("L").alias("family"))
+    name = F.get(F.array(*map(F.lit, _MATERIAL_NAMES)), (c("p_partkey") % 8).cast("int"))
+    return t.base("part").select("p_partkey", N.material_key(name).alias("material"), N.family_for_material(name).alias("family"))
 
 
-@query("p17_field_value", "SELECT sheet_uid, pos, coalesce(nullif(modelo_written, ''), 'ref:' || pos) AS modelo, coalesce(lower(trim(perf_comp)) IN ('x', '✓', 'v', 'sim', 'ok'), false) OR coalesce(lower(trim(qtd_written)) IN ('x', '✓', 'v', 'sim', 'ok'), false) AS whole FROM sheet_rows")
+@query("p17_field_value", "SELECT sheet_uid, pos, coalesce(nullif(trim(modelo_written), ''), nullif(trim(old), '')) AS modelo, coalesce(lower(trim(perf_comp)) IN ('x', '✓', 'v', 'sim', 'ok'), false) OR coalesce(lower(trim(qtd_written)) IN ('x', '✓', 'v', 'sim', 'ok'), false) AS whole FROM (SELECT *, perfil_written AS old FROM sheet_rows)")
 def _(t):
-    old = F.concat(F.lit("ref:"), c("pos").cast("string"))
-    return t.rows.select(*KEY, F.coalesce(F.when(c("modelo_written") != "", c("modelo_written")), old).alias("modelo"), (N.is_marked(c("perf_comp")) | N.is_marked(c("qtd_written"))).alias("whole"))
+    """A table with the field's new name and an old one (here the profile stands for it); a tick in either cell counts."""
+    rows = t.rows.withColumnsRenamed({"modelo_written": "modelo"}).withColumn("referencia", c("perfil_written"))
+    return rows.select(*KEY, N.field_value(rows.columns, "modelo", "referencia", "component_ref").alias("modelo"), (N.is_marked(c("perf_comp")) | N.is_marked(c("qtd_written"))).alias("whole"))
 
 
-@query("p18_clean_plan_value", "SELECT plan_key, CASE WHEN length(modelo) % 3 = 0 THEN NULL ELSE modelo END AS modelo, CASE WHEN length(modelo) % 2 = 0 THEN NULL ELSE ov END AS ov FROM plan_lines")
+_CELLS = ["#VALUE!", " #ref! ", "#N/A", "#DIV/0!", "#NAME?", "#NUM!", "#NULL!", "#SPILL!", "#CALC!", "#FIELD!", "#BLOCKED!", "#UNKNOWN!", "#Getting_Data", "#N/D", "x", " X ", "OV1", "#"]
+
+
+@query("p18_clean_plan_value", f"""WITH v AS (SELECT p_partkey, CASE WHEN p_partkey % 20 < 18 THEN list_extract({_CELLS}, p_partkey % 20 + 1) ELSE p_name END AS v FROM part), e AS (SELECT *, regexp_full_match(upper(trim(v)), '#(VALUE!|REF!|N/A|DIV/0!|NAME\\?|NUM!|NULL!|SPILL!|CALC!|FIELD!|BLOCKED!|UNKNOWN!|GETTING_DATA)') AS bad FROM v)
+SELECT p_partkey, CASE WHEN NOT bad THEN v END AS modelo, CASE WHEN NOT bad AND lower(trim(v)) <> 'x' THEN v END AS ov FROM e""")
 def _(t):
-    n = F.length("modelo")
-    return t.plan.select("plan_key", N.clean_plan_value(F.when(n % 3 == 0, " #n/a ").otherwise(c("modelo"))).alias("modelo"), N.clean_plan_value(F.when(n % 2 == 0, "x").otherwise(c("ov")), True).alias("ov"))
+    v = F.when(c("p_partkey") % 20 < 18, F.get(F.array(*map(F.lit, _CELLS)), (c("p_partkey") % 20).cast("int"))).otherwise(c("p_name"))
+    return t.base("part").select("p_partkey", N.clean_plan_value(v).alias("modelo"), N.clean_plan_value(v, True).alias("ov"))
 
 
 @query("p19_is_ditto", f"SELECT sheet_uid, pos, coalesce(of_written, '') <> '' AND ({WRITTEN('of_written')}) IS NULL AS v FROM sheet_rows")
@@ -144,9 +158,14 @@ def _(t):
     return t.rows.select(*KEY, N.is_ditto(c("of_written")).alias("v"))
 
 
-@query("p20_client_tokens", "SELECT plan_key, regexp_replace(upper(cliente), '[^A-Z0-9]', '', 'g') || '|SILVA' AS v FROM plan_lines")
+_FIRMS = ["Acme Unipessoal SAS INC", "Sílva, Lda", "Sociedade de Obras do Norte SPA", "Müller GmbH e Filhos", "Co AG BV SRL", "Casa da Ponte Ltda."]
+
+
+@query("p20_client_tokens", f"""WITH v AS (SELECT c_custkey, concat(list_extract({_FIRMS}, c_custkey % 6 + 1), ' ', c_name) AS v FROM customer), w AS (SELECT c_custkey, [{COMPACT('x')} for x in string_split_regex(trim(v), '\\s+')] AS w FROM v)
+SELECT c_custkey, array_to_string([x for x in w if x <> '' AND NOT list_contains(string_split('SA LDA SL SAS GMBH AG BV SRL SPA LTD LTDA INC CO SOCIEDADE UNIPESSOAL E DE DO DA', ' '), x)], '|') AS v FROM w""")
 def _(t):
-    return t.plan.select("plan_key", F.array_join(N.client_tokens(F.concat("cliente", F.lit(" Sílva, Lda "))), "|").alias("v"))
+    firm = F.get(F.array(*map(F.lit, _FIRMS)), (c("c_custkey") % 6).cast("int"))
+    return t.base("customer").select("c_custkey", F.array_join(N.client_tokens(F.concat(firm, F.lit(" "), "c_name")), "|").alias("v"))
 
 
 _DATE = """(SELECT sheet_uid, n, TRY_CAST(CASE WHEN regexp_full_match(data, '\\d{4}-\\d{1,2}-\\d{1,2}') THEN data WHEN regexp_full_match(data, '\\d{1,2}[/.\\-]\\d{1,2}[/.\\-]\\d{2,4}') THEN
@@ -177,16 +196,26 @@ def _(t):
     return t.base("events").select("event_id", F.when(name.rlike(shape), F.concat(F.regexp_extract(name, shape, 1), F.lit(".pdf"))).alias("file"), F.when(name.rlike(shape), F.regexp_extract(name, shape, 2).cast("long")).alias("page"))
 
 
-@query("p25_classify_row", f"""SELECT sheet_uid, pos, CASE WHEN pos % 11 = 0 THEN 'deleted' WHEN concat_ws(' ', {WRITTEN('of_written')}, {WRITTEN('perfil_written')}, {WRITTEN('qtd_written')}) = '' AND pos % 7 <> 0 THEN 'empty'
-  WHEN qtd_written IS NOT NULL AND replace(qtd_written, '.', '')::DOUBLE > 0 THEN 'production' WHEN pos % 7 = 0 THEN 'activity' ELSE 'production' END AS kind FROM sheet_rows""")
+_NOTES = ["arrumação e limpezas", "Sem  trabalho", "limpezada", "AGUARDAR MATERIAL", "peça"]
+
+
+@query("p25_classify_row", f"""WITH n AS (SELECT *, CASE WHEN pos % 2 = 0 THEN list_extract({_NOTES}, CAST(pos % 5 + 1 AS BIGINT)) END AS note FROM sheet_rows),
+s AS (SELECT *, upper(strip_accents(concat_ws(' ', {WRITTEN('of_written')}, {WRITTEN('perfil_written')}, {WRITTEN('note')}, {WRITTEN('qtd_written')}))) AS said FROM n)
+SELECT sheet_uid, pos, CASE WHEN pos % 11 = 0 THEN 'deleted' WHEN pos % 13 = 0 THEN 'activity' WHEN said = '' THEN 'empty' WHEN qtd_written IS NOT NULL AND replace(qtd_written, '.', '')::DOUBLE > 0 THEN 'production'
+  WHEN regexp_matches(said, '\\b(LIMPEZAS?|ARRUMACAO|SEM\\s+TRABALHO|AGUARDAR\\s+MATERIAL)\\b') THEN 'activity' ELSE 'production' END AS kind FROM s""")
 def _(t):
-    note = F.when(c("pos") % 7 == 0, "arrumação e limpezas")
-    return t.rows.select(*KEY, N.classify_row(c("qtd_written"), c("pos") % 11 == 0, c("of_written"), c("perfil_written"), note).alias("kind"))
+    note = F.when(c("pos") % 2 == 0, F.get(F.array(*map(F.lit, _NOTES)), (c("pos") % 5).cast("int")))
+    return t.rows.select(*KEY, N.classify_row(c("qtd_written"), c("pos") % 11 == 0, c("of_written"), c("perfil_written"), note, activity=c("pos") % 13 == 0).alias("kind"))
+
+
+_PLACES = ["Pavilhão 3 eq 2", "PAV12", "Pavimento 4", "interno", "Pav 3 eq", "Interno SA"]
 
 
-@query("p26_is_internal", "SELECT plan_key, CAST(length(modelo) % 2 = 0 AS BOOLEAN) AS v FROM plan_lines")
+@query("p26_is_internal", f"""WITH v AS (SELECT c_custkey, CASE WHEN c_custkey % 7 < 6 THEN list_extract({_PLACES}, c_custkey % 7 + 1) ELSE c_name END AS v, CASE WHEN c_custkey % 5 = 0 THEN ' Interno ' ELSE c_mktsegment END AS o FROM customer)
+SELECT c_custkey, {COMPACT('v')} = 'INTERNO' OR {COMPACT('o')} = 'INTERNO' OR regexp_full_match({COMPACT('v')}, 'PAV(ILHAO)?[0-9]+(EQ[0-9]+)?') AS v FROM v""")
 def _(t):
-    return t.plan.select("plan_key", N.is_internal(F.when(F.length("modelo") % 2 == 0, "Pavilhão 3 eq 2").otherwise(c("cliente"))).alias("v"))
+    place = F.when(c("c_custkey") % 7 < 6, F.get(F.array(*map(F.lit, _PLACES)), (c("c_custkey") % 7).cast("int"))).otherwise(c("c_name"))
+    return t.base("customer").select("c_custkey", N.is_internal(place, F.when(c("c_custkey") % 5 == 0, " Interno ").otherwise(c("c_mktsegment"))).alias("v"))
 
 
 @query("p27_row_has_content", f"SELECT sheet_uid, pos, ({WRITTEN('perf_comp')}) IS NOT NULL OR ({WRITTEN('modelo_written')}) IS NOT NULL AS v FROM sheet_rows")
@@ -205,9 +234,9 @@ def _(t):
     return t.plan.select("plan_key", F.struct("of_code", "ov", "cliente", "modelo", "perfil", "comp_mm").alias("i")).select("plan_key", "i.*")
 
 
-@query("p30_fingerprint")
+@query("p30_fingerprint", """SELECT plan_key, sha256(concat('{"cliente":"', cliente, '","modelo":"', modelo, '","of_code":"', of_code, '","perfil":"', perfil, '"}')) AS fingerprint FROM plan_lines""")
 def _(t):
-    return t.plan.select("plan_key", F.sha2(F.to_json(F.struct(*sorted(t.plan.columns))), 256).alias("fingerprint"))
+    return t.plan.select("plan_key", N.fingerprint("perfil", "of_code", "modelo", "cliente").alias("fingerprint"))
 
 
 @query("p31_display_order", "SELECT sheet_uid, pos, CASE WHEN pos % 3 = 0 THEN 100 - pos WHEN pos % 3 = 1 THEN pos * 2 ELSE pos + 1 END AS v FROM sheet_rows")
@@ -250,17 +279,17 @@ def distinct_pairs(t):
     return pairs(t).where("modelo_written is not null").select(F.upper("modelo_written").alias("w"), F.upper("modelo").alias("truth")).distinct()
 
 
-@query("e5_align_cost")
+_NEAR_PAIRS = f"""p AS (SELECT DISTINCT upper(modelo_written) AS w, upper(modelo) AS truth FROM {_PAIRS} WHERE modelo_written IS NOT NULL)"""
+
+
+@query("e5_align_cost", f"WITH {_NEAR_PAIRS} SELECT w, truth, CAST({COST('w', 'truth')} AS BIGINT) AS cost FROM p")
 def _(t):
-    near = distinct_pairs(t).where((F.abs(F.length("w") - F.length("truth")) <= 2) & (F.levenshtein("w", "truth", 5) >= 0))
-    return near.select("w", "truth", S.align_cost(c("w"), c("truth")).cast("long").alias("cost"))
+    return distinct_pairs(t).select("w", "truth", S.align_cost(c("w"), c("truth")).cast("long").alias("cost"))
 
 
-@query("e6_channel_evidence")
+@query("e6_channel_evidence", f"WITH {_NEAR_PAIRS} SELECT w, truth, round(greatest(0.0, least(0.85, 1 - {COST('w', 'truth')} / 12.0::DOUBLE)), 9) AS g FROM p")
 def _(t):
-    d = distinct_pairs(t)
-    near = (F.abs(F.length("w") - F.length("truth")) <= 2) & (F.levenshtein("w", "truth", 5) >= 0)
-    return d.select("w", "truth", F.when(near, S.channel_evidence(S.align_cost(c("w"), c("truth")))).otherwise(0.0).alias("g"))
+    return distinct_pairs(t).select("w", "truth", F.round(S.channel_evidence(S.align_cost(c("w"), c("truth")).cast("double")), 9).alias("g"))
 
 
 @query("e7_value_weight", "WITH f AS (SELECT modelo, count(*) AS n FROM plan_lines GROUP BY modelo), a AS (SELECT count(*) AS n FROM plan_lines) SELECT modelo, CAST(round(greatest(1.0, least(14.0, log2(0.6::DOUBLE / (f.n / greatest(a.n, 1000)::DOUBLE)))) * 1000000) AS BIGINT) AS v FROM f, a")
@@ -284,24 +313,72 @@ def _(t):
     return t.plan.join(active, "of_code", "left").select("plan_key", F.coalesce("bonus", F.lit(0.0)).alias("v"))
 
 
-_LAST = "CAST(string_split(substr({}, 2), 'X')[{}] AS DOUBLE)"
+_SIDES = """d AS (SELECT p_partkey, 40 + 5 * (p_size % 8) AS a, 3 + p_size % 6 AS t, CAST(p_partkey % 97 AS DOUBLE) / 100 AS gap, p_partkey % 7 AS kind FROM part)"""
+
+
+@query("e9_dims_evidence", """WITH n AS (SELECT count(*) AS total FROM part), s AS (SELECT p_size, count(*) AS joint FROM part GROUP BY p_size), k AS (SELECT p_partkey, p_partkey % 3 AS agree, p_partkey % 4 AS disagree, joint, total FROM part JOIN s USING (p_size), n)
+SELECT p_partkey, round(CASE WHEN agree > 0 THEN least(12.0, -log2(greatest(joint / total::DOUBLE, pow(0.1, agree), 1e-9))) ELSE 0 END + CASE WHEN disagree > 0 THEN greatest(-5.0, -2.5 * disagree) ELSE 0 END, 9) AS v FROM k""")
+def _(t):
+    part = t.base("part")
+    joint = part.groupBy("p_size").agg(F.count(F.lit(1)).alias("joint"))
+    k = part.join(joint, "p_size").crossJoin(F.broadcast(part.agg(F.count(F.lit(1)).alias("total"))))  # one row
+    return k.select("p_partkey", F.round(S.dims_evidence(c("p_partkey") % 3, c("joint"), c("p_partkey") % 4, c("total")), 9).alias("v"))
+
+
+@query("e11_profile_score", f"""WITH {_SIDES} SELECT p_partkey, round(CASE kind
+  WHEN 0 THEN CASE WHEN gap <= 0.001 THEN 10.0 WHEN gap <= greatest(0.01, t * 0.01::DOUBLE) THEN 4.0 ELSE -10.0 END
+  WHEN 1 THEN CASE WHEN gap <= 0.001 THEN 7.0 WHEN gap <= greatest(0.5, a * 0.01::DOUBLE) THEN 6.0 ELSE -10.0 END
+  WHEN 2 THEN CASE WHEN gap <= 0.001 THEN 7.0 WHEN gap <= greatest(0.05, a * 0.01::DOUBLE) THEN 6.0 ELSE -10.0 END
+  WHEN 3 THEN -14.0 WHEN 4 THEN 0.0 WHEN 5 THEN -3.0
+  ELSE CASE WHEN a % 10 = 0 THEN 4.0 WHEN 1 - levenshtein('SEMPERFIL' || CAST(a AS VARCHAR), 'SEMPERFIL' || CAST(a * 10 + t AS VARCHAR)) / length('SEMPERFIL' || CAST(a * 10 + t AS VARCHAR))::DOUBLE >= 0.8 THEN 2.0 * (1 - levenshtein('SEMPERFIL' || CAST(a AS VARCHAR), 'SEMPERFIL' || CAST(a * 10 + t AS VARCHAR)) / length('SEMPERFIL' || CAST(a * 10 + t AS VARCHAR))::DOUBLE) ELSE -4.0 END END, 9) AS v FROM d""")
+def _(t):
+    """Each outcome of the ladder, with gaps on both sides of its bounds."""
+    d = t.base("part").select("p_partkey", (40 + 5 * (c("p_size") % 8)).alias("a"), (3 + c("p_size") % 6).alias("t"), ((c("p_partkey") % 97).cast("decimal(6,2)") / 100).cast("decimal(6,2)").alias("gap"), (c("p_partkey") % 7).alias("kind"))
+    text = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts))
+    a, th, k = c("a"), c("t"), c("kind")
+    written = (
+        F.when(k == 0, text("L", a, "X", a, "X", th + c("gap"))).when(k == 1, text("RECT", a + c("gap"), "X", a)).when(k == 2, text("RECT", a, "X", a + c("gap")))
+        .when(k == 3, text("HEA", a)).when(k == 4, F.lit(" ")).when(k == 5, text("L", a, "X", a, "X", th)).otherwise(text("sem perfil ", a))
+    )
+    truth = F.when(k.isin(0, 3, 4), text("L", a, "X", a, "X", th)).when(k.isin(1, 2), text("RECT", a, "X", a, "X", th)).when(k == 5, F.lit(None).cast("string")).when(a % 10 == 0, text("SEM PERFIL ", a)).otherwise(text("SEM PERFIL ", a * 10 + th))
+    # "RECT" begins no name in the list: the long name does
+    p = d.select("p_partkey", N.parse_profile(F.regexp_replace(written, "^RECT", "Tubo Rectangular ")).alias("w"), N.parse_profile(F.regexp_replace(truth, "^RECT", "TUBO RETANGULAR ")).alias("t"))
+    return p.select("p_partkey", F.round(S.profile_score(c("w"), c("t")), 9).alias("v"))
+
+
+@query("e12_length_score", "SELECT plan_key, round(CASE WHEN comp_mm IS NULL THEN -2.0 WHEN qtd_planeada % 37 <= 1 THEN 6.0 ELSE greatest(-8.0, 6.0 - 2.0 * (qtd_planeada % 37 - 1) / greatest(1.0, comp_mm / 200)) END, 9) AS v FROM plan_lines")
+def _(t):
+    return t.plan.select("plan_key", F.round(S.length_score(c("comp_mm") - c("qtd_planeada") % 37, c("comp_mm")), 9).alias("v"))
 
 
-@query("e11_profile_score", _DIMS + f""", x AS (SELECT e.sheet_uid, e.pos, e.dims, e.rest, p.perfil FROM e JOIN sheet_rows r ON e.sheet_uid = r.sheet_uid AND e.pos = r.pos JOIN plan_lines p ON r.true_plan_key = p.plan_key)
-SELECT sheet_uid, pos, CAST(CASE WHEN rest = '' THEN 0.0 WHEN (CASE WHEN len(dims) = 2 THEN concat('L', dims[1], 'X', dims[1], 'X', dims[2]) ELSE 'L' || array_to_string(dims, 'X') END) = perfil THEN 10.0 ELSE -10.0 END AS DOUBLE) AS v FROM x""")
+@query("e13_geometry_evidence", """WITH d AS (SELECT p_partkey, 3 + p_size % 6 AS t, p_partkey % 4 AS kind, 100 + p_partkey % 9 AS cut, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE 100.0::DOUBLE END AS length, p_partkey % 3 AS material FROM part),
+s AS (SELECT *, CASE WHEN length IS NULL THEN -2.0 WHEN cut - 100 <= 1 THEN 6.0 ELSE greatest(-8.0, 6.0 - (cut - 101) * 2.0) END AS bits FROM d),
+m AS (SELECT *, CASE material WHEN 0 THEN 0.0 WHEN 1 THEN 2.0 ELSE -4.0 END AS m FROM s)
+SELECT p_partkey, round(CAST(CASE kind WHEN 0 THEN 10.0 + m WHEN 1 THEN greatest(-10.0, 10.0 + bits - 6.5) + m WHEN 2 THEN 10.0 - 2.0 + m ELSE 0.0 + m END AS DOUBLE), 9) AS v FROM m""")
 def _(t):
-    p = pairs(t).select(*KEY, N.parse_profile(c("perfil_written")).alias("w"), N.parse_profile(c("perfil")).alias("p"))
-    near = F.forall(F.zip_with("w.dims", "p.dims", lambda a, b: F.abs(a - b) <= b * 0.01), lambda x: x)
-    partial = F.forall(F.zip_with("w.dims", F.slice("p.dims", F.lit(1), F.greatest(F.size("w.dims"), F.lit(0))), lambda a, b: a == b), lambda x: x)
-    same_size, fewer = F.size("w.dims") == F.size("p.dims"), F.size("w.dims") < F.size("p.dims")
-    score = F.when(c("w.literal") == "", 0.0).when(c("p.literal") == "", -3.0).when(c("w.key") == c("p.key"), 10.0).when((c("w.family") != "") & (c("p.family") != "") & (c("w.family") != c("p.family")), -14.0).when(fewer & partial, 7.0).when(same_size & near, 4.0).otherwise(-10.0)
-    return p.select(*KEY, score.alias("v"))
+    """The best of a profile's readings: as it stands, or with its last dimension as a length."""
+    k = c("p_partkey") % 4
+    side = (3 + c("p_size") % 6).cast("string")
+    cut = (100 + c("p_partkey") % 9).cast("string")
+    written = F.when(k == 0, F.concat(F.lit("IPE"), side)).when(k == 1, F.concat(F.lit("IPE"), side, F.lit("X"), cut)).when(k == 2, F.concat(F.lit("Q"), side, F.lit("x2"))).otherwise("")
+    truth = F.when(k == 2, F.concat(F.lit("Ø"), side, F.lit("X2"))).otherwise(F.concat(F.lit("IPE"), side))
+    d = t.base("part").select("p_partkey", N.parse_profile(written).alias("w"), N.parse_profile(truth).alias("t"), F.when(c("p_partkey") % 5 != 0, 100.0).alias("length"), (c("p_partkey") % 3).alias("material"))
+    readings = d.select("*", F.explode(N.profile_readings(c("w"))).alias("r")).withColumn("w", c("w").withField("dims", c("r.dims")))
+    own = F.when(c("material") == 0, "").otherwise("INOX")
+    plan = F.when(c("material") == 1, "INOX").otherwise("CARBON_STEEL")
+    return readings.groupBy("p_partkey").agg(F.round(F.max(S.geometry_evidence(c("w"), c("t"), own, plan, c("r.cut"), c("length"))), 9).alias("v"))
 
 
-@query("e12_length_score", "SELECT plan_key, CASE WHEN comp_mm IS NULL THEN -2.0 WHEN (qtd_planeada % 9) <= 1 THEN 6.0 ELSE greatest(-8.0, 6.0 - 14.0 * ((qtd_planeada % 9) - 1) / 10.0::DOUBLE) END AS v FROM plan_lines")
+@query("e14_code_evidence", f"""WITH n AS (SELECT ov, count(DISTINCT of_code) AS orders FROM plan_lines GROUP BY ov), x AS (SELECT r.sheet_uid, r.pos, r.modelo_written AS w, p.modelo AS t, substr(p.ov, 3) AS ov, CASE WHEN r.pos % 4 = 0 THEN replace(substr(p.ov, 3), '0', 'O') ELSE substr(p.ov, 3) END AS ov_w, n.orders FROM {_PAIRS} JOIN n ON n.ov = p.ov),
+g AS (SELECT *, greatest(0.0, least(0.85, 1 - {COST('w', 't')} / 12.0::DOUBLE)) AS gm, greatest(0.0, least(0.85, 1 - {COST('ov_w', 'ov')} / 12.0::DOUBLE)) AS go, 7.0 * greatest(0.7, 1.0 - 0.1 * log2(greatest(orders, 1))) AS wo FROM x)
+SELECT sheet_uid, pos, round(CASE WHEN w IS NULL THEN 0.0 WHEN w = t THEN 10.0 WHEN {RATIO('w', 't')} >= 0.9 THEN greatest(0.45, gm) * 10 WHEN gm > 0 THEN gm * 10 ELSE -5.5 END, 9) AS modelo,
+  round(CASE WHEN ov_w = ov THEN wo WHEN {RATIO('ov_w', 'ov')} >= 0.9 THEN greatest(0.45, go) * wo WHEN go > 0 THEN go * wo ELSE -0.55 * wo END, 9) AS ov FROM g""")
 def _(t):
-    gap = c("qtd_planeada") % 9
-    return t.plan.select("plan_key", F.when(c("comp_mm").isNull(), -2.0).when(gap <= 1, 6.0).otherwise(F.greatest(F.lit(-8.0), 6.0 - 14.0 * (gap - 1) / 10.0)).alias("v"))
+    orders = t.plan.groupBy("ov").agg(F.count_distinct("of_code").alias("orders"))
+    p = pairs(t).join(orders, "ov").withColumn("o", F.substr("ov", F.lit(3)))
+    p = p.withColumn("ow", F.when(c("pos") % 4 == 0, F.translate("o", "0", "O")).otherwise(c("o")))
+    g = lambda a, b: F.coalesce(S.channel_evidence(S.align_cost(c(a), c(b)).cast("double")), F.lit(0.0))
+    return p.select(*KEY, F.round(S.code_evidence("modelo", c("modelo_written"), c("modelo"), g("modelo_written", "modelo"), F.lit(1)), 9).alias("modelo"), F.round(S.code_evidence("ov", c("ow"), c("o"), g("ow", "o"), c("orders")), 9).alias("ov"))
 
 
 @query("e15_same_identity", f"SELECT sheet_uid, pos, coalesce(({ZERO_O('of_written')}) = regexp_replace({ZERO_O('of_code')}, '^0F', ''), false) AS v FROM {_PAIRS}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -86,14 +87,35 @@ SELECT concat('sh', CAST(CAST(floor(l_orderkey / 3) AS BIGINT) AS STRING)) AS sh
 FROM lineitem
 """
 
-VIEWS = {"plan_lines": PLAN_LINES, "sheet_rows": SHEET_ROWS, "snapshots": SNAPSHOTS, "edits": EDITS, "plan_history": PLAN_HISTORY, "headers": HEADERS, "facts": FACTS}
-NEEDS = {"sheet_rows": ["plan_lines"], "plan_history": ["plan_lines", "snapshots"], "headers": ["plan_lines", "sheet_rows"]}
+#: Sheet rows against the lines of their sheet's orders, with bits by plain rules: a pool to rank and decode, with ties.
+POOL = """
+SELECT r.sheet_uid, r.pos, p.plan_key, p.of_code, p.ov, p.cliente, p.perfil, p.modelo, p.maquina, p.falta_valida AND p.qtd_restante > 0 AS open,
+  r.of_written, r.perfil_written, r.modelo_written, r.true_plan_key,
+  CAST(CASE WHEN r.of_written IS NULL OR r.of_written = '"' THEN 0 WHEN replace(r.of_written, 'O', '0') = substr(p.of_code, 3) THEN 12000000 ELSE -6600000 END
+    + CASE WHEN r.modelo_written IS NULL THEN 0 WHEN r.modelo_written = p.modelo THEN 10000000 WHEN levenshtein(r.modelo_written, p.modelo) = 1 THEN 4500000 ELSE -5500000 END
+    + CASE WHEN r.perfil_written IS NULL THEN 0 WHEN r.perfil_written = p.perfil THEN 10000000 ELSE -3000000 END AS BIGINT) AS bits,
+  CAST(CASE WHEN replace(r.of_written, 'O', '0') = substr(p.of_code, 3) THEN 1 ELSE 0 END + CASE WHEN r.modelo_written = p.modelo THEN 1 ELSE 0 END + CASE WHEN r.perfil_written = p.perfil THEN 1 ELSE 0 END AS BIGINT) AS agree
+FROM sheet_rows r JOIN plan_lines p ON r.sheet_uid = concat('sh', CAST(CAST(floor(CAST(split_part(p.plan_key, ':', 1) AS BIGINT) / 3) AS BIGINT) AS STRING))
+"""
+
+#: One row a sheet: state, numbers and times that follow from its number.
+SHEETS = """
+SELECT sheet_uid, n AS sheet_no, operador, n_operador, setor_maquina, data, turno,
+  CASE n % 6 WHEN 0 THEN 'validated' WHEN 1 THEN 'in_review' WHEN 2 THEN 'pending' WHEN 3 THEN 'validated' WHEN 4 THEN 'error' ELSE 'extracted' END AS status,
+  CASE n % 5 WHEN 0 THEN 'pending' WHEN 1 THEN 'retry' WHEN 2 THEN 'error' ELSE 'done' END AS sync_state,
+  CASE WHEN n % 7 = 0 THEN 'paragens' ELSE 'cantoneiras_kanban' END AS template_name, n % 4 AS n_warnings, n % 3 AS generation, n * 7 % 9000 AS event_floor,
+  CAST('2024-01-01' AS DATE) + CAST(n % 300 AS INT) AS created_on, CASE WHEN n % 6 IN (0, 3) THEN CAST('2024-02-01' AS DATE) + CAST(n % 300 AS INT) END AS validated_on
+FROM headers
+"""
+
+VIEWS = {"plan_lines": PLAN_LINES, "sheet_rows": SHEET_ROWS, "snapshots": SNAPSHOTS, "edits": EDITS, "plan_history": PLAN_HISTORY, "headers": HEADERS, "facts": FACTS, "pool": POOL, "all_sheets": SHEETS}
+NEEDS = {"sheet_rows": ["plan_lines"], "plan_history": ["plan_lines", "snapshots"], "headers": ["plan_lines", "sheet_rows"], "pool": ["plan_lines", "sheet_rows"], "all_sheets": ["plan_lines", "sheet_rows", "headers"]}
 BASE = ("lineitem", "orders", "customer", "part", "supplier", "events", "documents", "pages")
 
 
 def with_views(sql: str) -> str:
     """The statement preceded by the views it names."""
-    wanted = {v for v in VIEWS if v in sql}
+    wanted = {v for v in VIEWS if re.search(rf"\b{v}\b", sql)}
     wanted |= {n for v in list(wanted) for n in NEEDS.get(v, [])}
     parts = [f"{v} AS ({VIEWS[v].strip()})" for v in VIEWS if v in wanted]
     body = sql.strip()
@@ -115,10 +137,10 @@ class Tables:
 
     def _view(self, name: str) -> DataFrame:
         sql = with_views(f"SELECT * FROM {name}")
-        for table in BASE:
-            if table in sql:
-                self.base(table).createOrReplaceTempView(table)
-        return self.spark.sql(sql)
+        used = [table for table in BASE if re.search(rf"\b{table}\b", sql)]
+        for table in used:  # by braces, so that no view of the session is replaced
+            sql = re.sub(rf"\b(FROM|JOIN) {table}\b", rf"\1 {{{table}}}", sql)
+        return self.spark.sql(sql, **{table: self.base(table) for table in used})
 
     plan = cached_property(lambda self: self._view("plan_lines"))
     rows = cached_property(lambda self: self._view("sheet_rows"))
@@ -127,3 +149,5 @@ class Tables:
     history = cached_property(lambda self: self._view("plan_history"))
     headers = cached_property(lambda self: self._view("headers"))
     facts = cached_property(lambda self: self._view("facts"))
+    pool = cached_property(lambda self: self._view("pool"))
+    sheets = cached_property(lambda self: self._view("all_sheets"))
