@@ -1,4 +1,284 @@
+"""Queries of decisions: states of cells, replacements, headers, bindings, coverage, warnings."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tallyweave.functions import normalize as N
+from tallyweave.operators import decisions as D
+from tallyweave.operators import linkage as L
+
+from .linking import _PK, _REST, CARRY, MATCHED, NOPRE, OKEY, matched_of
+from tallyweave.operators.lineage import settled
+
 from .registry import Registry
+from .scalar import CODE, COMPACT, RATIO, WRITTEN, ZERO_O
 
 query = Registry()
 QUERIES, SQL = query.QUERIES, query.SQL
+c = F.col
+KEY = ("sheet_uid", "pos")
+N_OF = "CAST(substr(sheet_uid, 3) AS BIGINT)"
+VKEY = lambda s: f"regexp_replace({ZERO_O(s)}, '^0[FV]', '')"
+SNAPSHOT = "m199701"
+
+
+def sheet_no(t=None):
+    return F.substr("sheet_uid", F.lit(3)).cast("long")
+
+
+def linked(t):
+    """Carried rows with the line that they are linked to; a winner without positive evidence counts as none."""
+    found = matched_of(t).where("bits > 0").select(*KEY, "plan_key", "mode", "p")
+    return L.carry_down(t.rows).join(found, list(KEY), "left")
+
+
+LINKED = f"{CARRY}, {MATCHED}, linked AS (SELECT k.*, m.plan_key, m.mode, m.p FROM carried k LEFT JOIN (SELECT * FROM matched WHERE bits > 0) m ON m.sheet_uid = k.sheet_uid AND m.pos = k.pos)"
+
+
+def _cell(name: str, eff: str, field: str) -> str:
+    w = WRITTEN(f"k.{eff}")
+    if name == "perfil":
+        pk = f"(CASE WHEN k.perfil_eff IS NULL THEN NULL ELSE {_PK(_REST.replace('perfil_eff', 'k.perfil_eff'))} END)"
+        sim, there = f"CASE WHEN {pk} = p.perfil THEN 1.0 ELSE {RATIO(pk, 'p.perfil')} END", f"{pk} IN (SELECT perfil FROM plan_lines)"
+    else:
+        key = VKEY if name == "ov" else OKEY
+        plain = (lambda s: f"regexp_replace({CODE(s)}, '^{name.upper()}(.)', '\\1')") if name in ("of", "ov") else CODE
+        sim = f"CASE WHEN {key(f'k.{eff}')} = {key(f'p.{field}')} THEN 1.0 ELSE {RATIO(plain(f'k.{eff}'), plain(f'p.{field}'))} END"
+        there = f"{key(f'k.{eff}')} IN (SELECT {key(field)} FROM plan_lines)"
+    ticked = "coalesce(lower(trim(k.perf_comp)) IN ('x', '✓', 'v', 'sim', 'ok'), false)" if name == "modelo" else "false"
+    return f"""SELECT k.sheet_uid, k.pos, '{name}' AS field, CASE WHEN k.plan_key IS NULL THEN CASE WHEN {w} IS NULL THEN 'na' WHEN {there} THEN 'confirmed' ELSE 'unmatched' END
+  WHEN {ticked} THEN CASE WHEN {w} IS NULL THEN 'na' ELSE 'snapped' END WHEN {w} IS NULL THEN 'snapped' WHEN {sim} >= 1 THEN 'confirmed' WHEN {sim} >= 0.9 THEN 'snapped' ELSE 'very_different' END AS status FROM linked k LEFT JOIN plan_lines p ON p.plan_key = k.plan_key"""
+
+
+@query("d1_cell_status", f"WITH {LINKED} " + " UNION ALL ".join(_cell(*f) for f in D.FIELDS))
+def _(t):
+    known = {n: t.plan.select(L.field_key(n, c(f)).alias("k")) for n, _, f in D.FIELDS}
+    return D.cell_status(settled(linked(t)), t.plan, known)
+
+
+_CUSTOMER = """v AS (SELECT c_custkey, c_name AS name, CASE c_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN lower(c_name) WHEN 2 THEN substr(c_name, 1, 16) WHEN 3 THEN 'Customer#' || lpad(CAST(c_custkey * 7 % 1000 AS VARCHAR), 9, '0') ELSE '"' END AS written, c_custkey % 3 > 0 AS may_write, c_custkey % 4 = 0 AS human, c_custkey % 7 > 1 AS sure FROM customer)"""
+
+
+@query("d2_customer_cell", f"""WITH {_CUSTOMER}, w AS (SELECT *, {WRITTEN('written')} AS w FROM v), s AS (SELECT *, CASE WHEN w IS NULL THEN 0.0 WHEN {COMPACT('w')} = {COMPACT('name')} THEN 1.0 WHEN contains({COMPACT('name')}, {COMPACT('w')}) THEN 0.97 ELSE {RATIO(COMPACT('w'), COMPACT('name'))} END AS sim FROM w)
+SELECT c_custkey, CASE WHEN may_write THEN CASE WHEN w IS NOT NULL AND sim >= 0.9 THEN 'confirmed' ELSE 'snapped' END WHEN w IS NULL THEN 'snapped' WHEN sim >= 0.9 THEN 'confirmed' ELSE 'alias' END AS status,
+  CASE WHEN may_write THEN CASE WHEN w IS DISTINCT FROM name THEN name END WHEN w IS NULL OR sim < 0.9 THEN name END AS proposal, CASE WHEN may_write THEN w IS DISTINCT FROM name ELSE false END AS auto,
+  CASE WHEN w IS NULL THEN 'snapped' WHEN sim >= 0.9 THEN 'confirmed' ELSE 'alias' END AS kept_status, w IS NULL AND may_write AND NOT human AND sure AS kept_auto FROM s""")
+def _(t):
+    """With the plan's name written over the paper's, and with the paper's kept."""
+    k = c("c_custkey")
+    other = F.concat(F.lit("Customer#"), F.lpad((k * 7 % 1000).cast("string"), 9, "0"))
+    written = F.when(k % 5 == 1, F.lower("c_name")).when(k % 5 == 2, F.substring("c_name", 1, 16)).when(k % 5 == 3, other).when(k % 5 == 4, '"')
+    args = (k % 3 > 0, k % 4 == 0, k % 7 > 1)
+    df = t.base("customer").select(k, D.customer_cell(written, c("c_name"), True, *args).alias("x"), D.customer_cell(written, c("c_name"), False, *args).alias("y"))
+    return df.select("c_custkey", "x.status", "x.proposal", "x.auto", c("y.status").alias("kept_status"), c("y.auto").alias("kept_auto"))
+
+
+@query("d3_over_limit", f"WITH {MATCHED}, q AS (SELECT r.sheet_uid, r.pos, m.plan_key, CASE WHEN qtd_written = '1.200' THEN 1200 WHEN regexp_full_match(qtd_written, '[0-9 .,-]+') THEN TRY_CAST(qtd_written AS DOUBLE) END AS q FROM sheet_rows r JOIN matched m ON m.sheet_uid = r.sheet_uid AND m.pos = r.pos WHERE NOT coalesce(lower(trim(perf_comp)) IN ('x', '✓', 'v', 'sim', 'ok'), false)) SELECT sheet_uid, pos, q > qtd_planeada AS over_limit FROM q JOIN plan_lines p ON p.plan_key = q.plan_key WHERE q IS NOT NULL")
+def _(t):
+    rows = t.rows.join(matched_of(t).select(*KEY, "plan_key"), list(KEY))
+    return D.over_limit(rows, t.plan)
+
+
+@query("d4_total_mismatch", "SELECT plan_key, row_index, l_orderkey, sheet_date, abs(qtd * comp_mm + l_orderkey % 3 - qtd * comp_mm) > 1 AS mismatch FROM facts")
+def _(t):
+    total = c("qtd") * c("comp_mm") + c("l_orderkey") % 3
+    return t.facts.select("plan_key", "row_index", "l_orderkey", "sheet_date", D.total_mismatch(total, c("qtd"), c("comp_mm")).alias("mismatch"))
+
+
+@query("d5_write_threshold", "SELECT p_partkey, list_extract(['of', 'comp_mm', 'qtd', 'maquina', 'esp', 'turno'], p_partkey % 6 + 1) AS field, CAST(CASE p_partkey % 6 WHEN 1 THEN 0.98 WHEN 4 THEN 0.98 WHEN 0 THEN 0.95 WHEN 3 THEN 0.95 ELSE 0.9 END AS DOUBLE) AS threshold FROM part")
+def _(t):
+    field = F.get(F.array(*map(F.lit, ("of", "comp_mm", "qtd", "maquina", "esp", "turno"))), (c("p_partkey") % 6).cast("int"))
+    return t.base("part").select("p_partkey", field.alias("field"), D.write_threshold(field).alias("threshold"))
+
+
+@query("d6_may_replace", f"""SELECT sheet_uid, pos, pos % 3 > 0 OR trim(coalesce(of_written, '')) = '' OR coalesce({OKEY('of_written')} = {OKEY('of_code')}, false) AS of, pos % 2 > 0 OR trim(coalesce(modelo_written, '')) = '' OR coalesce({OKEY('modelo_written')} = {OKEY('modelo')}, false) AS modelo
+FROM sheet_rows JOIN plan_lines ON plan_key = true_plan_key""")
+def _(t):
+    p = t.rows.join(t.plan, c("true_plan_key") == c("plan_key"))
+    return p.select(*KEY, D.may_replace("of", c("pos") % 3 == 0, c("of_written"), c("of_code")).alias("of"), D.may_replace("modelo", c("pos") % 2 == 0, c("modelo_written"), c("modelo")).alias("modelo"))
+
+
+def human_cells(t):
+    return t.rows.where("pos % 4 = 0").select(*KEY, F.explode(F.array(F.lit("modelo"), F.lit("of"))).alias("field"))
+
+
+def _edit(name: str, own: str, line: str) -> str:
+    new = f"regexp_replace(trim(p.{line}), '^(OF|OV)\\s*(\\d+)$', '\\2', 'i')" if name in ("of", "ov") else f"p.{line}"
+    same = f"coalesce({(VKEY if name == 'ov' else OKEY)(f'k.{own}')} = {(VKEY if name == 'ov' else OKEY)(f'p.{line}')}, false)"
+    human = f"(k.pos % 4 > 0 OR {WRITTEN(f'k.{own}')} IS NULL OR {same})" if name in ("of", "modelo") else "true"
+    ticked = " AND NOT coalesce(lower(trim(k.perf_comp)) IN ('x', '✓', 'v', 'sim', 'ok'), false)" if name == "modelo" else ""
+    return f"SELECT k.sheet_uid, k.pos, '{name}' AS field, k.{own} AS old_value, {new} AS new_value FROM linked k JOIN plan_lines p ON p.plan_key = k.plan_key WHERE {human}{ticked} AND k.{own} IS DISTINCT FROM {new}"
+
+
+@query("d7_substitutions", f"WITH {LINKED} " + " UNION ALL ".join(_edit(*f) for f in (("of", "of_written", "of_code"), ("ov", "ov_written", "ov"), ("perfil", "perfil_written", "perfil"), ("modelo", "modelo_written", "modelo"))))
+def _(t):
+    return D.substitutions(linked(t), t.plan, human_cells(t))
+
+
+@query("d8_fixed_point")
+def _(t):
+    """No SQL: a loop. Rows whose order and one more cell name a single line take that line's cells, until none changes."""
+    plan = t.plan.select("plan_key", L.order_key(c("of_code")).alias("k"), "of_code", "ov", "perfil", "modelo", F.split_part("plan_key", F.lit(":"), F.lit(1)).alias("o"))
+
+    def step(rows):
+        carried = L.carry_down(rows).withColumn("k", L.order_key(c("of_eff")))
+        alike = (c("modelo") == c("modelo_written")) | c("modelo_written").isNull() & (c("perfil") == c("perfil_written"))
+        hits = carried.select(*KEY, "k", "modelo_written", "perfil_written").join(plan, "k").where(alike)
+        one = hits.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.max("plan_key").alias("plan_key")).where("n = 1").select(*KEY, "plan_key")
+        edits = D.substitutions(rows.join(one, list(KEY)), t.plan, human_cells(t))
+        return D.applied(rows, edits)
+
+    cells = t.rows.drop("true_plan_key")
+    return D.fixed_point(cells, step).select(*KEY, "of_written", "perfil_written", "modelo_written", "rounds", "outcome")
+
+
+def employees(t):
+    return t.base("customer").select(c("c_custkey").alias("cod"), c("c_name").alias("full_name"))
+
+
+def operators_asked(t):
+    """Every eleventh number has a digit too many, and a name with one letter changed."""
+    odd = sheet_no() % 11 == 0
+    return t.headers.withColumn("n_operador", F.when(odd & c("n_operador").isNotNull(), F.concat("n_operador", F.lit("9"))).otherwise(c("n_operador"))).withColumn("operador", F.when(odd, F.replace("operador", F.lit("Customer"), F.lit("Custamer"))).otherwise(c("operador")))
+
+
+OPERATORS = f"""h AS (SELECT sheet_uid, setor_maquina, data, turno, CASE WHEN n % 11 = 0 AND n_operador IS NOT NULL THEN n_operador || '9' ELSE n_operador END AS n_operador, CASE WHEN n % 11 = 0 THEN replace(operador, 'Customer', 'Custamer') ELSE operador END AS operador FROM headers),
+a AS (SELECT sheet_uid, trim(operador) AS name, TRY_CAST(replace(n_operador, 'O', '0') AS BIGINT) AS cod FROM h), k AS (SELECT a.*, c_custkey, c_name FROM a LEFT JOIN customer ON c_custkey = cod),
+near AS (SELECT sheet_uid, max(e.c_custkey) AS e_cod, max(e.c_name) AS full_name FROM k JOIN customer e ON abs(cod - e.c_custkey) < 10000 AND levenshtein(CAST(cod AS VARCHAR), CAST(e.c_custkey AS VARCHAR)) <= 1 AND levenshtein({COMPACT('name')}, {COMPACT('e.c_name')}) <= 2 WHERE k.c_custkey IS NULL AND cod IS NOT NULL GROUP BY sheet_uid HAVING count(*) = 1),
+ops AS (SELECT sheet_uid, cod, c_name AS name, CASE WHEN {COMPACT('name')} = {COMPACT('c_name')} THEN 'exact' WHEN levenshtein({COMPACT('name')}, {COMPACT('c_name')}) <= 1 THEN 'token' ELSE 'so_numero' END AS rule FROM k WHERE c_custkey IS NOT NULL
+  UNION ALL SELECT k.sheet_uid, coalesce(e_cod, cod), coalesce(full_name, name), CASE WHEN e_cod IS NOT NULL THEN 'corrigido' WHEN cod IS NULL THEN 'sem_numero' ELSE 'sem_ref' END FROM k LEFT JOIN near ON near.sheet_uid = k.sheet_uid WHERE c_custkey IS NULL)"""
+
+
+@query("j23_resolve_operator", f"WITH {OPERATORS} SELECT * FROM ops")
+def _(t):
+    return D.resolve_operator(operators_asked(t), employees(t))
+
+
+MACHINES = f"""mn AS (SELECT DISTINCT maquina AS display_name FROM plan_lines), mv AS (SELECT DISTINCT setor_maquina, {COMPACT('setor_maquina')} AS w FROM headers WHERE setor_maquina IS NOT NULL),
+me AS (SELECT mv.*, (SELECT min(display_name) FROM mn WHERE {COMPACT('display_name')} = w) AS machine FROM mv),
+mb AS (SELECT setor_maquina, display_name, row_number() OVER (PARTITION BY setor_maquina ORDER BY {RATIO('w', COMPACT('display_name'))} DESC, display_name) AS r FROM me, mn WHERE machine IS NULL AND {RATIO('w', COMPACT('display_name'))} >= 0.5),
+ms AS (SELECT setor_maquina, string_agg(display_name, ',' ORDER BY r) AS suggestions, count(*) AS n FROM mb WHERE r <= 3 GROUP BY setor_maquina),
+machines AS (SELECT h.sheet_uid, machine, CASE WHEN w IS NULL THEN 'missing' WHEN machine IS NOT NULL THEN CASE WHEN h.setor_maquina = machine THEN 'confirmed' ELSE 'corrected' END WHEN ms.n = 1 THEN 'review' ELSE 'ambiguous' END AS status, suggestions FROM headers h LEFT JOIN me ON me.setor_maquina = h.setor_maquina LEFT JOIN ms ON ms.setor_maquina = h.setor_maquina)"""
+
+
+@query("j24_resolve_machine", f"WITH {MACHINES} SELECT * FROM machines")
+def _(t):
+    return D.resolve_machine(t.headers, t.plan.select(c("maquina").alias("display_name")))
+
+
+_DAY = """TRY_CAST(CASE WHEN regexp_full_match(data, '\\d{4}-\\d{1,2}-\\d{1,2}') THEN data WHEN regexp_full_match(data, '\\d{1,2}[/.\\-]\\d{1,2}[/.\\-]\\d{2,4}') THEN
+  concat(CASE WHEN length(regexp_extract(data, '(\\d+)$', 1)) = 2 THEN '20' ELSE '' END, regexp_extract(data, '(\\d+)$', 1), '-', lpad(regexp_extract(data, '^\\d+[/.\\-](\\d+)', 1), 2, '0'), '-', lpad(regexp_extract(data, '^(\\d+)', 1), 2, '0')) END AS DATE)"""
+
+
+@query("d9_check_header", f"""WITH {OPERATORS}, {MACHINES}, x AS (SELECT h.*, {N_OF.replace('sheet_uid', 'h.sheet_uid')} AS no, o.cod, o.name, o.rule, m.machine, m.status AS m_status, m.suggestions, {_DAY} AS d, CASE WHEN {N_OF.replace('sheet_uid', 'h.sheet_uid')} % 3 = 0 THEN DATE '1997-03-03' END AS assumed FROM h LEFT JOIN ops o ON o.sheet_uid = h.sheet_uid LEFT JOIN machines m ON m.sheet_uid = h.sheet_uid),
+f AS (SELECT sheet_uid, no, 'operador' AS field, CASE WHEN coalesce(trim(operador), '') = '' THEN 'missing' WHEN rule IN ('exact', 'token') THEN CASE WHEN trim(operador) = name THEN 'confirmed' ELSE 'corrected' END WHEN rule IN ('so_numero', 'corrigido') THEN 'review' ELSE 'no_reference' END AS status, CASE WHEN rule IN ('exact', 'token', 'so_numero', 'corrigido') AND trim(operador) <> name THEN name END AS proposal FROM x
+UNION ALL SELECT sheet_uid, no, 'n_operador', CASE WHEN n_operador IS NULL THEN 'missing' WHEN rule = 'corrigido' THEN 'review' WHEN rule IN ('exact', 'token', 'so_numero') THEN CASE WHEN n_operador = CAST(cod AS VARCHAR) THEN 'confirmed' ELSE 'corrected' END ELSE 'no_reference' END, CASE WHEN rule IN ('exact', 'token', 'so_numero', 'corrigido') AND n_operador <> CAST(cod AS VARCHAR) THEN CAST(cod AS VARCHAR) END FROM x
+UNION ALL SELECT sheet_uid, no, 'setor_maquina', m_status, CASE m_status WHEN 'corrected' THEN machine WHEN 'review' THEN split_part(suggestions, ',', 1) END FROM x
+UNION ALL SELECT sheet_uid, no, 'turno', CASE WHEN turno IN ('M', 'R', 'XM') THEN 'confirmed' ELSE 'review' END, NULL FROM x
+UNION ALL SELECT sheet_uid, no, 'data', CASE WHEN assumed IS NOT NULL AND no % 4 > 0 THEN CASE WHEN data = strftime(assumed, '%d/%m/%Y') THEN 'confirmed' ELSE 'corrected' END WHEN data IS NULL THEN 'missing' WHEN d IS NULL THEN 'review' WHEN data = strftime(d, '%d/%m/%Y') OR no % 4 = 0 THEN 'confirmed' ELSE 'corrected' END,
+  CASE WHEN assumed IS NOT NULL AND no % 4 > 0 THEN CASE WHEN data IS DISTINCT FROM strftime(assumed, '%d/%m/%Y') THEN strftime(assumed, '%d/%m/%Y') END WHEN d IS NOT NULL AND data <> strftime(d, '%d/%m/%Y') THEN strftime(d, '%d/%m/%Y') END FROM x)
+SELECT sheet_uid, field, status, proposal, proposal IS NOT NULL AND status <> 'ambiguous' AND NOT (no % 4 = 0 AND field IN ('data', 'operador')) AS auto FROM f""")
+def _(t):
+    h = operators_asked(t).withColumn("assumed", F.when(sheet_no() % 3 == 0, F.lit("1997-03-03").cast("date")))
+    human = h.where(sheet_no() % 4 == 0).select("sheet_uid", F.explode(F.array(F.lit("data"), F.lit("operador"))).alias("field"))
+    return D.check_header(h, D.resolve_operator(h, employees(t)), D.resolve_machine(h, t.plan.select(c("maquina").alias("display_name"))), human)
+
+
+@query("d10_plan_machines", f"WITH {MATCHED} SELECT sheet_uid, string_agg(DISTINCT trim(maquina), ',' ORDER BY trim(maquina)) AS machines FROM matched m JOIN plan_lines p ON p.plan_key = m.plan_key WHERE mode = 'strong' GROUP BY sheet_uid")
+def _(t):
+    return D.plan_machines(matched_of(t), t.plan)
+
+
+_STATE = "pos % 13 = 0 AS deleted, CASE pos % 4 WHEN 0 THEN 'duplicate' WHEN 1 THEN 'out_of_scope' WHEN 2 THEN 'other' ELSE 'ocr_artifact' END AS reason, CASE WHEN pos % 8 = 0 THEN pos - 1 ELSE 99 END AS duplicate_of"
+
+
+@query("d11_validation_warnings", f"""WITH {LINKED}, s AS (SELECT *, {N_OF} AS n FROM all_sheets), r AS (SELECT *, {N_OF} AS n, coalesce(lower(trim(perf_comp)) IN ('x', '✓', 'v', 'sim', 'ok'), false) AS ticked FROM linked WHERE pos % 9 <> 0),
+w AS (SELECT sheet_uid, NULL::BIGINT AS pos, unnest(list_filter([CASE WHEN n % 8 = 0 THEN 'operador_vazio' END, CASE WHEN n % 3 = 0 THEN 'data_assumida' END, CASE WHEN n % 17 = 0 THEN 'conflito_migracao' END, CASE WHEN n % 19 = 0 THEN 'plano_indisponivel' WHEN n % 2 = 0 THEN 'plano_mudou' END, CASE WHEN n % 23 = 0 THEN 'cruzamento_instavel' END], lambda x: x IS NOT NULL)) AS code FROM s
+UNION ALL SELECT sheet_uid, pos, unnest(list_filter([CASE WHEN pos % 10 = 0 THEN 'identidade_por_confirmar' END, CASE WHEN pos % 7 = 0 THEN 'escolha_de_outra_carga' END, CASE WHEN plan_key IS NULL AND NOT ticked THEN 'sem_ligacao_ao_plano' WHEN mode = 'weak' THEN 'correspondencia_fraca' END,
+  CASE WHEN ticked AND (pos % 3 = 0 OR n % 4 = 0) THEN 'saldo_por_confirmar' WHEN ticked AND n % 5 = 0 THEN 'saldo_aproximado' END], lambda x: x IS NOT NULL)) FROM r) SELECT * FROM w""")
+def _(t):
+    n = sheet_no()
+    sheets = t.sheets.select("sheet_uid", F.when(n % 8 > 0, c("operador")).alias("operador"), F.when(n % 3 == 0, c("created_on")).alias("assumed"), (n % 17 == 0).alias("migration_conflict"), F.when(n % 19 == 0, "no_reference").otherwise("ok").alias("plan_status"), F.when(n % 2 == 0, "m199612").otherwise(SNAPSHOT).alias("snapshot_id"), (n % 23 != 0).alias("stable"))
+    ticked = N.is_marked(c("perf_comp"))
+    rows = linked(t).select(*KEY, F.when(c("pos") % 9 == 0, "activity").otherwise("production").alias("kind"), (c("pos") % 10 == 0).alias("unresolved"), (c("pos") % 7 == 0).alias("binding_stale"), "plan_key", ticked.alias("has_refs"), "mode", ticked.alias("ticked"), (c("pos") % 3 != 0).alias("refs_valid"), F.when(n % 4 == 0, "unavailable").otherwise("ready").alias("basis_status"), (n % 5 == 0).alias("approximate"))
+    return D.validation_warnings(sheets, rows, SNAPSHOT)
+
+
+_ACCOUNTS = f"""r AS (SELECT sheet_uid, pos, modelo_written IS NOT NULL AS filled, {_STATE} FROM sheet_rows), live AS (SELECT sheet_uid, pos FROM r WHERE filled AND NOT deleted),
+v AS (SELECT r.*, CASE WHEN reason = 'duplicate' THEN EXISTS (SELECT 1 FROM live l WHERE l.sheet_uid = r.sheet_uid AND l.pos = r.duplicate_of AND l.pos <> r.pos) ELSE reason IN ('out_of_scope', 'ocr_artifact') END AS ok FROM r),
+acc AS (SELECT sheet_uid, count_if(NOT deleted AND filled) AS included, count_if(deleted AND ok AND reason = 'out_of_scope' AND filled) AS physical, count_if(deleted AND ok) AS justified, count_if(deleted) AS removed, count_if(deleted AND NOT ok AND filled) AS unknown FROM v GROUP BY sheet_uid),
+accounts AS (SELECT sheet_uid, CAST(included AS BIGINT) AS included, CAST(physical AS BIGINT) AS physical, CAST(justified AS BIGINT) AS justified, CAST(removed AS BIGINT) AS removed, CAST(unknown AS BIGINT) AS unknown, CAST(included + physical AS BIGINT) AS least, CAST(included + physical + unknown AS BIGINT) AS most FROM acc)"""
+
+
+def accounts(t):
+    pos = c("pos")
+    reason = F.when(pos % 4 == 0, "duplicate").when(pos % 4 == 1, "out_of_scope").when(pos % 4 == 2, "other").otherwise("ocr_artifact")
+    rows = t.rows.select(*KEY, c("modelo_written").isNotNull().alias("filled"), (pos % 13 == 0).alias("deleted"), reason.alias("reason"), F.when(pos % 8 == 0, pos - 1).otherwise(99).alias("duplicate_of"))
+    return D.row_accounting(rows)
+
+
+@query("a12_row_accounting", f"WITH {_ACCOUNTS} SELECT * FROM accounts")
+def _(t):
+    return accounts(t)
+
+
+@query("d12_coverage_status", f"""WITH {_ACCOUNTS}, x AS (SELECT *, {N_OF} AS n, CASE WHEN {N_OF} % 5 = 0 THEN NULL ELSE included + {N_OF} % 2 END AS expected, CASE WHEN {N_OF} % 4 = 0 THEN most END AS confirmed FROM accounts),
+y AS (SELECT *, n % 7 <> 0 AS same, coalesce(confirmed BETWEEN least AND most, false) AS h, coalesce(expected BETWEEN least AND most, false) AS e FROM x)
+SELECT sheet_uid, CASE WHEN same AND (h OR e) THEN CASE WHEN h OR unknown = 0 THEN 'complete' ELSE 'reviewed' END WHEN expected IS NULL THEN 'unverified' ELSE 'incomplete' END AS status, NOT same AS stale FROM y""")
+def _(t):
+    n = sheet_no()
+    seen = accounts(t).withColumn("expected", F.when(n % 5 > 0, c("included") + n % 2)).withColumn("confirmed", F.when(n % 4 == 0, c("most")))
+    return D.coverage_status(seen.withColumn("context_now", F.lit("a")).withColumn("context_then", F.when(n % 7 == 0, "b").otherwise("a")))
+
+
+@query("d13_fill_header", f"""WITH a AS (SELECT sheet_uid, n, CASE WHEN n % 4 = 1 THEN NULL ELSE data END AS data, CASE WHEN n % 3 = 0 THEN NULL ELSE turno END AS turno, data AS b_data, CASE WHEN n % 5 = 0 THEN 'M' ELSE turno END AS b_turno FROM headers), b AS (SELECT *, CASE WHEN n % 8 = 2 THEN '1.1.1999' ELSE b_data END AS c_data FROM a)
+SELECT sheet_uid, 'data' AS field, coalesce(data, c_data) AS value, CASE WHEN c_data IS NULL OR data = c_data THEN 'kept' WHEN data IS NULL THEN 'filled' WHEN {_DAY} <> {_DAY.replace('data', 'c_data')} THEN 'conflict' ELSE 'proposal' END AS outcome FROM b
+UNION ALL SELECT sheet_uid, 'turno', coalesce(turno, b_turno), CASE WHEN b_turno IS NULL OR turno = b_turno THEN 'kept' WHEN turno IS NULL THEN 'filled' ELSE 'proposal' END FROM b""")
+def _(t):
+    n = sheet_no()
+    first = t.headers.select("sheet_uid", F.when(n % 4 != 1, c("data")).alias("data"), F.when(n % 3 > 0, c("turno")).alias("turno"))
+    second = t.headers.select("sheet_uid", F.when(n % 8 == 2, "1.1.1999").otherwise(c("data")).alias("data"), F.when(n % 5 == 0, "M").otherwise(c("turno")).alias("turno"))
+    return D.fill_header(first, second, ("data", "turno"))
+
+
+_BOUND = "SELECT r.sheet_uid, r.pos, 'old:' || p.plan_key AS plan_key, p.of_code AS of, p.modelo, p.perfil, CASE WHEN r.pos % 2 = 0 THEN p.comp_mm END AS comp_mm FROM sheet_rows r JOIN plan_lines p ON p.plan_key = r.true_plan_key WHERE r.pos % 5 = 0"
+
+
+@query("j20_reattach_bindings", f"WITH b AS ({_BOUND}), h AS (SELECT b.sheet_uid, b.pos, max(p.plan_key) AS new_key FROM b JOIN plan_lines p ON p.of_code = b.of AND p.modelo = b.modelo AND p.perfil = b.perfil AND (b.comp_mm IS NULL OR abs(p.comp_mm - b.comp_mm) <= 1) WHERE CAST(substr(p.snapshot_id, 2) AS BIGINT) % 4 > 0 GROUP BY b.sheet_uid, b.pos HAVING count(*) = 1) SELECT b.sheet_uid, b.pos, coalesce(new_key, b.plan_key) AS plan_key, new_key IS NOT NULL AS reattached FROM b LEFT JOIN h ON h.sheet_uid = b.sheet_uid AND h.pos = b.pos")
+def _(t):
+    b = t.rows.where("pos % 5 = 0").join(t.plan, c("true_plan_key") == c("plan_key"))
+    b = b.select(*KEY, F.concat(F.lit("old:"), "plan_key").alias("plan_key"), c("of_code").alias("of"), "modelo", "perfil", F.when(c("pos") % 2 == 0, c("comp_mm")).alias("comp_mm"))
+    return D.reattach(b, t.plan.where("cast(substr(snapshot_id, 2) as bigint) % 4 > 0"))
+
+
+@query("j21_apply_explicit", f"WITH {MATCHED}, b AS (SELECT sheet_uid, pos, CASE WHEN pos % 10 = 0 THEN 'gone' ELSE true_plan_key END AS bound, CASE WHEN pos % 3 = 0 THEN 'm199612' ELSE '{SNAPSHOT}' END AS snapshot_id FROM sheet_rows WHERE pos % 5 = 0), x AS (SELECT m.*, b.bound, coalesce(b.snapshot_id = '{SNAPSHOT}' AND b.bound IN (SELECT plan_key FROM plan_lines), false) AS wins FROM matched m LEFT JOIN b ON b.sheet_uid = m.sheet_uid AND b.pos = m.pos) SELECT sheet_uid, pos, CASE WHEN wins THEN bound ELSE plan_key END AS plan_key, CASE WHEN wins THEN 'explicit' ELSE mode END AS mode, bound IS NOT NULL AND NOT wins AS stale FROM x")
+def _(t):
+    b = t.rows.where("pos % 5 = 0").select(*KEY, F.when(c("pos") % 10 == 0, "gone").otherwise(c("true_plan_key")).alias("plan_key"), F.when(c("pos") % 3 == 0, "m199612").otherwise(SNAPSHOT).alias("snapshot_id"))
+    return D.apply_explicit(matched_of(t), b, t.plan, SNAPSHOT)
+
+
+_REFS = f"lines AS (SELECT k.sheet_uid, k.pos, p.plan_key, p.qtd_restante AS quantity FROM carried k JOIN plan_lines p ON {NOPRE('k.of_eff')} = {NOPRE('p.of_code')})"
+
+
+@query("j25_recover_refs", f"""WITH {CARRY}, {_REFS}, u AS (SELECT sheet_uid, pos, 1 AS o, 'frozen' AS source, quantity FROM lines WHERE pos % 3 = 0 UNION ALL SELECT sheet_uid, pos, 2, 'children', CASE WHEN pos % 10 = 1 THEN NULL ELSE quantity + 1 END FROM lines WHERE pos % 3 < 2 UNION ALL SELECT sheet_uid, pos, 3, 'pinned', quantity + 2 FROM lines WHERE pos % 5 > 0),
+h AS (SELECT sheet_uid, pos, o, source, count(*) AS refs, sum(quantity) AS quantity FROM u GROUP BY sheet_uid, pos, o, source), g AS (SELECT *, row_number() OVER (PARTITION BY sheet_uid, pos ORDER BY o) AS k FROM h)
+SELECT r.sheet_uid, r.pos, g.source, g.refs, g.quantity, CASE WHEN g.source IS NULL THEN 'no_source' WHEN g.quantity IS NULL THEN 'unknown_quantity' END AS problem FROM sheet_rows r LEFT JOIN g ON g.sheet_uid = r.sheet_uid AND g.pos = r.pos AND g.k = 1""")
+def _(t):
+    lines = L.carry_down(t.rows).select(*KEY, N.canonical_code(c("of_eff"), "OF").alias("k")).join(t.plan.select(N.canonical_code(c("of_code"), "OF").alias("k"), c("qtd_restante").alias("quantity")), "k")
+    children = lines.where("pos % 3 < 2").withColumn("quantity", F.when(c("pos") % 10 != 1, c("quantity") + 1))
+    return D.recover_refs(t.rows, lines.where("pos % 3 = 0"), children, lines.where("pos % 5 > 0").withColumn("quantity", c("quantity") + 2))
+
+
+@query("j26_align_rows", f"""WITH o AS (SELECT sheet_uid, pos, concat_ws('|', modelo_written, qtd_written) AS key FROM sheet_rows), k AS (SELECT sheet_uid, CASE WHEN {N_OF} % 6 = 0 AND pos < 3 THEN 3 - pos WHEN {N_OF} % 4 = 0 AND pos > 6 THEN pos - 1 ELSE pos END AS pos, CASE WHEN pos % 4 = 2 THEN '?' ELSE concat_ws('|', modelo_written, qtd_written) END AS key FROM sheet_rows WHERE NOT ({N_OF} % 4 = 0 AND pos = 6)),
+a AS (SELECT x.sheet_uid, x.a, y.b FROM (SELECT sheet_uid, key, max(pos) AS a FROM k GROUP BY ALL HAVING count(*) = 1) x JOIN (SELECT sheet_uid, key, max(pos) AS b FROM o GROUP BY ALL HAVING count(*) = 1) y ON x.sheet_uid = y.sheet_uid AND x.key = y.key),
+g AS (SELECT sheet_uid FROM (SELECT sheet_uid, b <= lag(b) OVER (PARTITION BY sheet_uid ORDER BY a) AS back FROM a) GROUP BY sheet_uid HAVING NOT bool_or(coalesce(back, false))), s AS (SELECT * FROM a SEMI JOIN g ON g.sheet_uid = a.sheet_uid),
+q AS (SELECT k.sheet_uid, k.pos, (SELECT max(a) FROM s WHERE s.sheet_uid = k.sheet_uid AND a <= k.pos) AS pa, (SELECT min(a) FROM s WHERE s.sheet_uid = k.sheet_uid AND a >= k.pos) AS na FROM k)
+SELECT q.sheet_uid, q.pos, p.b + q.pos - q.pa AS original_pos FROM q JOIN s p ON p.sheet_uid = q.sheet_uid AND p.a = q.pa JOIN s n ON n.sheet_uid = q.sheet_uid AND n.a = q.na WHERE n.a - p.a = n.b - p.b""")
+def _(t):
+    """A second reading with unreadable rows, a lost row in every fourth sheet, and two rows swapped in every sixth."""
+    n, pos = sheet_no(), c("pos")
+    key = F.concat_ws("|", "modelo_written", "qtd_written")
+    place = F.when((n % 6 == 0) & (pos < 3), 3 - pos).when((n % 4 == 0) & (pos > 6), pos - 1).otherwise(pos)
+    second = t.rows.where(~((n % 4 == 0) & (pos == 6))).select("sheet_uid", place.alias("pos"), F.when(pos % 4 == 2, "?").otherwise(key).alias("key"))
+    return D.align_rows(second, t.rows.select(*KEY, key.alias("key")))
