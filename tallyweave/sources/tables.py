@@ -151,3 +151,7 @@ class Tables:
     facts = cached_property(lambda self: self._view("facts"))
     pool = cached_property(lambda self: self._view("pool"))
     sheets = cached_property(lambda self: self._view("all_sheets"))
+
+    def edits_of(self, events: DataFrame) -> DataFrame:
+        """The edits that a table or stream of events holds."""
+        return self.spark.sql(EDITS.replace("FROM events", "FROM {events}"), events=events)
