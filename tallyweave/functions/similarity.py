@@ -73,6 +73,23 @@ def channel_evidence(cost: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(COST_CAP), 1 - cost / COST_SCALE))
 
 
+def _classes() -> tuple[str, str]:
+    """Each character that is mistaken for another, and one that stands for all that it is linked with."""
+    leader: dict[str, str] = {}
+    for pair in GLYPH_PAIRS:
+        a, b = (leader.setdefault(x, x) for x in pair)
+        leader = {x: min(a, b) if y in (a, b) else y for x, y in leader.items()}
+    return "".join(leader), "".join(leader.values())
+
+
+def look_alike_evidence(a: Column, b: Column) -> Column:
+    """channel_evidence of the alignment. It is 0 from 12 bits on, and an edit that isn't a look-alike costs 5 at least: so
+    no alignment is needed where more than two edits remain once look-alikes are taken for equal."""
+    form = lambda x: F.translate(F.upper(x), *_classes())
+    near = F.levenshtein(form(a), form(b), 2) >= 0
+    return F.when(near, channel_evidence(align_cost(a, b).cast("double"))).otherwise(0.0)
+
+
 def identity_bits(similarity: Column, channel: Column, weight: Column, known: Column, blank: Column, code: bool = True) -> Column:
     """Evidence of one field: exact, near, look-alike, written value known elsewhere (veto), or disagreement."""
     g = F.when(similarity >= 0.8, F.greatest(channel, F.lit(0.3))).otherwise(channel)

@@ -250,8 +250,8 @@ def score_pairs(rows: DataFrame, plan: DataFrame, pairs: DataFrame) -> DataFrame
             same = order_key(c(written)) == order_key(c(field))
         distinct = base.where(c(written).isNotNull()).select(written, field).distinct().withColumn("x", form(c(written))).withColumn("y", form(c(field)))
         distinct = distinct.withColumn("sim", F.when(same, 1.0).otherwise(S.ratio(c("x"), c("y")))).join(weights(plan, field), field)
-        cost = F.when(c("sim") < S.NEAR, S.align_cost(c("x"), c("y")))  # the alignment decides below that only
-        distinct = distinct.withColumn("channel", F.coalesce(S.channel_evidence(cost.cast("double")), F.lit(0.0)))
+        alike = F.when(c("sim") < S.NEAR, S.look_alike_evidence(c("x"), c("y")))  # it decides below that only
+        distinct = distinct.withColumn("channel", F.coalesce(alike, F.lit(0.0)))
         present = F.lit(False)
         if code:
             there = plan.select(field_key(field, c(field)).alias("k"), F.lit(True).alias("present")).distinct()

@@ -37,9 +37,14 @@ def _(t):
     return R.unambiguous(t.plan, "modelo", "cliente")
 
 
-@query("a5_plan_by_order", "SELECT of_code, CASE WHEN bool_and(falta_valida) THEN sum(qtd_restante) END AS remaining, string_agg(DISTINCT maquina, ', ' ORDER BY maquina) AS machines FROM plan_lines GROUP BY of_code")
+@query("a5_plan_by_order", """WITH l AS (SELECT 'cantoneiras' AS family, of_code, falta_valida, qtd_restante, maquina, snapshot_id AS semana FROM plan_lines
+  UNION ALL SELECT 'chapa', concat('OF', CAST(200000 + l_orderkey AS VARCHAR)), l_returnflag <> 'R', l_quantity, concat('Machine ', l_suppkey % 9), concat('w', CAST(year(l_shipdate) AS VARCHAR)) FROM lineitem WHERE l_linenumber % 2 = 0)
+SELECT family, of_code, CASE WHEN bool_and(falta_valida) THEN sum(qtd_restante) END AS remaining, string_agg(DISTINCT maquina, ', ' ORDER BY maquina) AS machines, min(semana) AS first_week FROM l GROUP BY family, of_code""")
 def _(t):
-    return t.plan.groupBy("of_code").agg(F.when(F.every("falta_valida"), F.sum("qtd_restante")).alias("remaining"), F.array_join(F.array_sort(F.collect_set("maquina")), ", ").alias("machines"))
+    first = t.plan.select(F.lit("cantoneiras").alias("family"), "of_code", "falta_valida", "qtd_restante", "maquina", c("snapshot_id").alias("semana"))
+    items = t.base("lineitem").where("l_linenumber % 2 = 0")
+    second = items.select(F.lit("chapa").alias("family"), F.concat(F.lit("OF"), (200000 + c("l_orderkey")).cast("string")).alias("of_code"), (c("l_returnflag") != "R").alias("falta_valida"), c("l_quantity").alias("qtd_restante"), F.concat(F.lit("Machine "), (c("l_suppkey") % 9).cast("string")).alias("maquina"), F.concat(F.lit("w"), F.year("l_shipdate").cast("string")).alias("semana"))
+    return R.plan_by_order(first.unionByName(second))
 
 
 @query("a6_validated_by_order", "SELECT of_code, sum(qtd) AS made, max(sheet_date) AS last_day, count(*) AS n FROM facts GROUP BY of_code")
@@ -66,22 +71,21 @@ def _(t):
     return changed.groupBy("sheet_uid").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("field_path").alias("fields"))
 
 
-@query("a16_active_orders", "SELECT DISTINCT of_code FROM facts WHERE sheet_date > (SELECT max(sheet_date) FROM facts) - INTERVAL 14 DAY")
+@query("a16_active_orders", "SELECT DISTINCT of_code FROM facts WHERE sheet_date > DATE '1999-06-30' - INTERVAL 14 DAY AND sheet_date <= DATE '1999-06-30'")
 def _(t):
-    last = t.facts.agg(F.max("sheet_date").alias("last"))
-    return t.facts.join(F.broadcast(last), c("sheet_date") > F.date_sub("last", 14)).select("of_code").distinct()  # one row
+    return R.active_orders(t.facts, F.lit("1999-06-30").cast("date"))
 
 
-@query("s2_latest_snapshot", "SELECT dataset_id, arg_max(snapshot_id, loaded_at) AS snapshot_id, max(loaded_at) AS loaded_at FROM snapshots GROUP BY dataset_id")
+@query("s2_latest_snapshot", "SELECT dataset_id, arg_max(snapshot_id, loaded_at) AS snapshot_id, max(loaded_at) AS loaded_at FROM snapshots WHERE starts_with(snapshot_id, 'm1997') GROUP BY dataset_id UNION ALL SELECT dataset_id, arg_max(snapshot_id, loaded_at), max(loaded_at) FROM snapshots GROUP BY dataset_id HAVING dataset_id = 'plan'")
 def _(t):
-    last = F.max(F.struct("loaded_at", "snapshot_id"))
-    return t.snapshots.groupBy("dataset_id").agg(last.alias("s")).select("dataset_id", "s.snapshot_id", "s.loaded_at")
+    return R.latest_snapshot(t.snapshots, prefix="m1997").unionByName(R.latest_snapshot(t.snapshots, "plan"))
 
 
-@query("s15_read_archive", "SELECT sheet_uid, l_orderkey, row_index, sheet_date, operador FROM facts WHERE sheet_date BETWEEN DATE '1995-01-01' AND DATE '1996-06-30' AND operador = 'Operator 3'")
+@query("s15_read_archive", "SELECT f.sheet_uid, l_orderkey, row_index, sheet_date, operador, CAST(substr(f.sheet_uid, 3) AS BIGINT) AS sheet_no FROM facts f WHERE sheet_date BETWEEN DATE '1995-01-01' AND DATE '1996-06-30' AND operador = 'Operator 3' AND CAST(substr(f.sheet_uid, 3) AS BIGINT) % 7 > 0")
 def _(t):
-    asked = t.facts.where(c("sheet_date").between(F.lit("1995-01-01").cast("date"), F.lit("1996-06-30").cast("date")) & (c("operador") == "Operator 3"))
-    return asked.select("sheet_uid", "l_orderkey", "row_index", "sheet_date", "operador").orderBy("sheet_date", "operador", "sheet_uid", "l_orderkey", "row_index")
+    n = F.substr("sheet_uid", F.lit(3)).cast("long")
+    facts = t.facts.withColumn("sheet_no", n).withColumn("template_name", F.when(n % 7 == 0, "paragens").otherwise("cantoneiras_kanban"))
+    return R.read_archive(facts, "1995-01-01", "1996-06-30", "Operator 3").select("sheet_uid", "l_orderkey", "row_index", "sheet_date", "operador", "sheet_no")
 
 
 @query("s21_neutralize_formula", "WITH v AS (SELECT plan_key, concat(substr('=+-@ ab', CAST(comp_mm AS BIGINT) // 50 % 7 + 1, 1), modelo) AS v FROM plan_lines) SELECT plan_key, CASE WHEN regexp_matches(v, '^[=+@-]') THEN concat('''', v) ELSE v END AS v FROM v")

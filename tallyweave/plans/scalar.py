@@ -289,7 +289,7 @@ def _(t):
 
 @query("e6_channel_evidence", f"WITH {_NEAR_PAIRS} SELECT w, truth, round(greatest(0.0, least(0.85, 1 - {COST('w', 'truth')} / 12.0::DOUBLE)), 9) AS g FROM p")
 def _(t):
-    return distinct_pairs(t).select("w", "truth", F.round(S.channel_evidence(S.align_cost(c("w"), c("truth")).cast("double")), 9).alias("g"))
+    return distinct_pairs(t).select("w", "truth", F.round(S.look_alike_evidence(c("w"), c("truth")), 9).alias("g"))
 
 
 @query("e7_value_weight", "WITH f AS (SELECT modelo, count(*) AS n FROM plan_lines GROUP BY modelo), a AS (SELECT count(*) AS n FROM plan_lines) SELECT modelo, CAST(round(greatest(1.0, least(14.0, log2(0.6::DOUBLE / (f.n / greatest(a.n, 1000)::DOUBLE)))) * 1000000) AS BIGINT) AS v FROM f, a")
@@ -377,7 +377,7 @@ def _(t):
     orders = t.plan.groupBy("ov").agg(F.count_distinct("of_code").alias("orders"))
     p = pairs(t).join(orders, "ov").withColumn("o", F.substr("ov", F.lit(3)))
     p = p.withColumn("ow", F.when(c("pos") % 4 == 0, F.translate("o", "0", "O")).otherwise(c("o")))
-    g = lambda a, b: F.coalesce(S.channel_evidence(S.align_cost(c(a), c(b)).cast("double")), F.lit(0.0))
+    g = lambda a, b: F.coalesce(S.look_alike_evidence(c(a), c(b)), F.lit(0.0))
     return p.select(*KEY, F.round(S.code_evidence("modelo", c("modelo_written"), c("modelo"), g("modelo_written", "modelo"), F.lit(1)), 9).alias("modelo"), F.round(S.code_evidence("ov", c("ow"), c("o"), g("ow", "o"), c("orders")), 9).alias("ov"))
 
 
