@@ -8,6 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op2_bpe
+from .conversation_trie import op13_trie
 from .fm_index import op12_decontamination
 from .langid import op4_language
 from .line_crf import op9_rules
@@ -22,7 +23,7 @@ from .suffix_dedup import op8_suffix
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_media, op2_bpe, op3_packing, op4_language, op5_mixing, op6_minhash, op7_sharding, op8_suffix, op9_rules, op10_quality, op11_resampling, op12_decontamination)
+    own = (op1_media, op2_bpe, op3_packing, op4_language, op5_mixing, op6_minhash, op7_sharding, op8_suffix, op9_rules, op10_quality, op11_resampling, op12_decontamination, op13_trie)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
