@@ -20,24 +20,38 @@ CAP = 500
 IDENTITY = (("of_eff", "of_code", None), ("ov_eff", "ov", CAP), ("modelo_written", "modelo", CAP), ("perfil_eff", "perfil", CAP))
 
 
-def carry_down(rows: DataFrame) -> DataFrame:
+def carry_down(rows: DataFrame, within: tuple[str, ...] = ("sheet_uid",)) -> DataFrame:
     """Adds <f>_eff and <f>_from for carried fields: a blank or ditto cell takes the last value of its block.
 
-    A row without content ends a block, and so does an order that is not the one before it (similarity below 0.9).
+    A row without content ends a block, and so does an order that is not the one before it (similarity below 0.9). The
+    customer is carried where rows have cliente_written. Optional columns: deleted (such a row neither gives, takes nor
+    ends), manual (entered by hand: takes nothing), cleared (array of fields that a person emptied: these stay empty).
+    Other columns that end in _written count as content. Blocks are numbered within ``within``.
     """
-    by_sheet = Window.partitionBy("sheet_uid").orderBy("pos")
+    held = rows.columns
+    carried = CARRIED + (("cliente",) if "cliente_written" in held else ())
+    by_sheet = Window.partitionBy(*within).orderBy("pos")
     before = by_sheet.rowsBetween(Window.unboundedPreceding, -1)
-    for f in CARRIED:
-        rows = rows.withColumn(f"_{f}", N.written(c(f"{f}_written")))
-    mute = F.coalesce(*(c(f"_{f}") for f in CARRIED), N.written(c("modelo_written")), N.written(c("qtd_written")), N.written(c("perf_comp"))).isNull()
+    gone = F.coalesce(c("deleted"), F.lit(False)) if "deleted" in held else F.lit(False)
+    for f in carried:
+        rows = rows.withColumn(f"_{f}", F.when(~gone, N.written(c(f"{f}_written"))))
+    content = [N.written(c(x)) for x in held if x.endswith("_written") and x.removesuffix("_written") not in carried]
+    content += [N.written(c("perf_comp"))] if "perf_comp" in held else []
+    mute = ~gone & F.coalesce(*(c(f"_{f}") for f in carried), *content).isNull()
     last = F.last("_of", True).over(before)
     new = mute | (c("_of").isNotNull() & (last.isNull() | (S.code_similarity(c("_of"), last) < 0.9)))
-    rows = rows.withColumn("block", F.sum(new.cast("int")).over(by_sheet)).withColumn("mute", mute)
-    so_far = Window.partitionBy("sheet_uid", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    for f in CARRIED:
+    rows = rows.withColumn("block", F.sum(new.cast("int")).over(by_sheet)).withColumn("mute", mute | gone)
+    so_far = Window.partitionBy(*within, "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    for f in carried:
+        shut = F.lit(False)
+        if "manual" in held:
+            shut = shut | F.coalesce(c("manual"), F.lit(False))
+        if "cleared" in held:
+            shut = shut | F.coalesce(F.array_contains("cleared", f), F.lit(False))
+        takes = ~c("mute") & (~shut | c(f"_{f}").isNotNull())
         source = F.last(F.when(c(f"_{f}").isNotNull(), c("pos")), True).over(so_far)
-        rows = rows.withColumn(f"{f}_eff", F.when(~c("mute"), F.last(f"_{f}", True).over(so_far))).withColumn(f"{f}_from", F.when(~c("mute"), source))
-    return rows.drop("mute", *(f"_{f}" for f in CARRIED))
+        rows = rows.withColumn(f"{f}_eff", F.when(takes, F.last(f"_{f}", True).over(so_far))).withColumn(f"{f}_from", F.when(takes, source))
+    return rows.drop("mute", *(f"_{f}" for f in carried))
 
 
 def order_key(s):
@@ -63,30 +77,42 @@ def shortened(s, most: int):
     return out
 
 
-def fuzzy_top(values: DataFrame, known: DataFrame, k: int = TOP_K, least: float = 0.6) -> DataFrame:
+def fuzzy_top(values: DataFrame, known: DataFrame, k: int = TOP_K, least: float = 0.6, by: str | None = None, falling: bool = True) -> DataFrame:
     """w, v, sim, rank: for each distinct written value the k most similar known ones, lengths within three.
 
     Values at most d edits apart are equal after at most d deletions in each, so they join by equality. Whoever has k
-    of these that are more similar than d + 1 edits allow is done; only the others are held against all of near length.
+    of these that are more similar than d + 1 edits allow is done, and so is whoever meets no length that allows more than two
+    edits; only the others are held against all of near length. With ``by``, values meet those of their own field only.
+    Ties go by value, falling or rising.
     """
+    own = [by] if by else []
     rest, out = settled(values.where("w is not null")), []
     known = known.where("v is not null")
     longest = F.greatest(F.length("w"), F.length("v"))
-    rank = F.row_number().over(Window.partitionBy("w").orderBy(c("sim").desc(), c("v").desc()))
+    rank = F.row_number().over(Window.partitionBy(*own, "w").orderBy(c("sim").desc(), c("v").desc() if falling else c("v")))
+    edits = lambda n: F.floor((1 - least) * n + 1e-9)
 
     def best(pairs: DataFrame) -> DataFrame:
-        alike = pairs.where(F.levenshtein("w", "v") <= F.floor((1 - least) * longest + 1e-9)).withColumn("sim", S.ratio(c("w"), c("v"))).where(c("sim") >= least)
-        return alike.withColumn("rank", rank).where(c("rank") <= k).select("w", "v", "sim", "rank")
-
+        alike = pairs.where(F.levenshtein("w", "v") <= edits(longest)).withColumn("sim", S.ratio(c("w"), c("v"))).where(c("sim") >= least)
+        return alike.withColumn("rank", rank).where(c("rank") <= k).select(*own, "w", "v", "sim", "rank")
+
+    near = lambda n: F.explode(F.sequence(F.greatest(n - 3, F.lit(1)), n + 3)).alias("n")
+    lengths = known.select(*own, F.length("v").alias("n")).distinct()
+    most = rest.select(*own, "w", near(F.length("w"))).join(F.broadcast(lengths), [*own, "n"])  # a row for each length that values have
+    wide = most.groupBy(*own, "w").agg(F.max(edits(F.greatest(F.length("w"), "n"))).alias("most")).where("most > 2").select(*own, "w")
+    rest = settled(rest.join(wide.withColumn("wide", F.lit(True)), [*own, "w"], "left"))
     for d in (1, 2):
-        pairs = rest.select("w", F.explode(shortened(c("w"), d)).alias("n")).join(known.select("v", F.explode(shortened(c("v"), d)).alias("n")), "n").select("w", "v").distinct()
+        pairs = rest.select(*own, "w", "wide", F.explode(shortened(c("w"), d)).alias("n")).join(known.select(*own, "v", F.explode(shortened(c("v"), d)).alias("n")), [*own, "n"]).select(*own, "w", "v", "wide").distinct()
         sure = S.ratio(c("w"), c("v")) > 1 - (d + 1) / (F.length("w") + 3)
+        if d == 2:
+            sure = sure | c("wide").isNull()
         top = settled(best(pairs.where((F.abs(F.length("w") - F.length("v")) <= 3) & sure)))
-        done = top.where(c("rank") == k).select("w")
-        out.append(top.join(done, "w", "left_semi"))
-        rest = settled(rest.join(done, "w", "left_anti"))
-    x = rest.select("w", F.explode(F.sequence(F.greatest(F.length("w") - 3, F.lit(1)), F.length("w") + 3)).alias("n"))
-    out.append(best(x.join(known.select("v", F.length("v").alias("n")), "n")))
+        done = top.where(c("rank") == k).select(*own, "w")
+        if d == 2:
+            done = done.unionByName(rest.where("wide is null").select(*own, "w")).distinct()
+        out.append(top.join(done, [*own, "w"], "left_semi"))
+        rest = settled(rest.join(done, [*own, "w"], "left_anti"))
+    out.append(best(rest.select(*own, "w", near(F.length("w"))).join(known.select(*own, "v", F.length("v").alias("n")), [*own, "n"])))
     return reduce(DataFrame.unionByName, out)
 
 

@@ -137,7 +137,7 @@ def _(t):
     sinks.append_new(there, path, "own")
     outcome = sinks.append_new(facts, path, "own")
     sinks.append_new(facts, path, "own")
-    held = t.spark.read.parquet(path).groupBy("sheet_uid").agg(F.count(F.lit(1)).alias("rows"))
+    held = sinks.archive_rows(t.spark, path, facts.schema).groupBy("sheet_uid").agg(F.count(F.lit(1)).alias("rows"))
     return outcome.join(held, "sheet_uid").select("sheet_uid", "outcome", "rows")
 
 
@@ -218,9 +218,7 @@ def _(t):
     sha = F.sha2(c("html").cast("binary"), 256)
     stream = jobs.table_stream(t.spark, f"{t.sf_dir}/pages.parquet").select(c("url").alias("name"), sha.alias("sha"))
     ledger = settled(t.base("pages").where("page_id % 3 = 0").select(sha.alias("sha")))
-    found = jobs.ingest(stream, ledger, jobs.new_folder(t.spark))
-    names = t.base("pages").groupBy(sha.alias("sha")).agg(F.min("url").alias("name"))  # whichever copy came first stands for all
-    return found.select("sha").join(names, "sha").select("sha", "name")
+    return jobs.ingest(stream, ledger, jobs.new_folder(t.spark))
 
 
 @query("st2_stream_evidence", "SELECT e.sheet_uid, field_path, max(id) AS id, arg_max(coalesce(new_value, ''), id) AS new_value FROM edits e JOIN all_sheets s ON s.sheet_uid = e.sheet_uid WHERE id > event_floor AND source = 'human' GROUP BY ALL")
@@ -238,7 +236,7 @@ def _(t):
     stream = lambda: jobs.table_stream(t.spark, source._scratch, 2)
     jobs.archive(stream(), folder, "own")
     jobs.run(stream(), lambda batch, n: sinks.append_new(batch, f"{folder}/archive", "own"), again)
-    return t.spark.read.parquet(f"{folder}/archive").select("sheet_uid", "plan_key", "row_index", "qtd")
+    return sinks.archive_rows(t.spark, f"{folder}/archive", source.schema).select("sheet_uid", "plan_key", "row_index", "qtd")
 
 
 @query("st4_stream_match", f"WITH {CARRY} SELECT sheet_uid, pos, plan_key FROM carried JOIN plan_lines ON {OKEY('of_eff')} = {OKEY('of_code')} AND modelo_written = modelo")

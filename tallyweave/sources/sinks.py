@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import uuid
+from functools import reduce
+
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tallyweave.functions import normalize as N
 from tallyweave.operators.lineage import discard, settled
@@ -11,26 +16,95 @@ from tallyweave.operators.lineage import discard, settled
 c = F.col
 
 
+#: An archive's sheets are dealt to so many buckets by a hash of their id; a sheet is looked for in its own bucket only.
+BUCKETS = 32
+
+
+def _fs(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _entries(spark: SparkSession, path: str, bucket: int) -> list[str]:
+    """The commits of a bucket, in order."""
+    at, fs = _fs(spark, f"{path}/log/{bucket}")
+    if not fs.exists(at):
+        return []
+    names = sorted(s.getPath().getName() for s in fs.listStatus(at))
+    out = []
+    for name in names:
+        if name.isdigit():
+            stream = fs.open(_fs(spark, f"{path}/log/{bucket}/{name}")[0])
+            out.append(bytes(stream.readAllBytes()).decode())
+            stream.close()
+    return out
+
+
+def _claim(spark: SparkSession, path: str, bucket: int, number: int, commit: str) -> bool:
+    """Compare and set: makes the bucket's next entry, whole at once, unless another writer has made it."""
+    made, fs = _fs(spark, f"{path}/log/{bucket}/.{commit}")
+    final, _ = _fs(spark, f"{path}/log/{bucket}/{number:010d}")
+    stream = fs.create(made)
+    stream.write(bytearray(commit.encode()))
+    stream.close()
+    jvm = spark._jvm
+    try:
+        if fs.getUri().getScheme() == "file":  # a rename would replace the other's entry
+            local = lambda x: jvm.java.nio.file.Paths.get(jvm.java.net.URI.create(f"file://{x.toUri().getPath()}"))
+            jvm.java.nio.file.Files.createLink(local(final), local(made))
+        else:
+            kinds = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(made, final, kinds)
+    except Py4JJavaError as e:
+        if "AlreadyExists" in e.java_exception.getClass().getName():
+            return False
+        raise
+    finally:
+        fs.delete(made, False)
+    return True
+
+
+def _data(path: str, bucket: int, commit: str) -> str:
+    return f"{path}/data/{commit}/bucket={bucket}"
+
+
+def archive_rows(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The archive at path: what commits name, nothing that a writer left behind."""
+    found = [_data(path, b, e) for b in range(BUCKETS) for e in _entries(spark, path, b)]
+    return spark.read.schema(schema).parquet(*found) if found else spark.createDataFrame([], schema)
+
+
 def append_new(facts: DataFrame, path: str, owner: str) -> DataFrame:
-    """Appends the sheets of facts (sheet_uid, owner, ...) that the table at path lacks; sheet_uid, outcome of each.
+    """Appends the sheets of facts (sheet_uid, owner, ...) that the archive at path lacks; sheet_uid, outcome of each.
 
-    stored now, already there (nothing is written again), or a conflict with another owner's sheet. Writing the same facts
-    twice, or after a job that failed half-way and was repeated, adds nothing.
+    stored now, already there (nothing is written again), or a conflict with another owner's sheet. A bucket's rows count
+    once its log has an entry for them, and the entry of each number is made by one writer alone (by a rename that doesn't
+    overwrite, or by a link on a local disk). Who comes second looks again and writes what is still new. So writing
+    twice, at once, or after a failure half-way stores each sheet once. Only the buckets of the given sheets are read.
     """
     spark = facts.sparkSession
-    try:
-        held = spark.read.schema(facts.schema).parquet(path).select("sheet_uid", c("owner").alias("held_by")).distinct()
-        known = settled(held)
-    except Exception as e:  # no table yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        known = spark.createDataFrame([], "sheet_uid string, held_by string")
-    asked = facts.select("sheet_uid").distinct()
-    outcome = asked.join(known.groupBy("sheet_uid").agg(F.max("held_by").alias("held_by")), "sheet_uid", "left")
-    outcome = settled(outcome.select("sheet_uid", F.when(c("held_by").isNull(), "stored").when(c("held_by") == owner, "already_there").otherwise("conflict").alias("outcome")))
-    facts.join(outcome.where("outcome = 'stored'").select("sheet_uid"), "sheet_uid", "left_semi").write.mode("append").parquet(path)
-    discard(known)
-    return outcome
+    todo = settled(facts.withColumn("bucket", F.pmod(F.xxhash64("sheet_uid"), F.lit(BUCKETS)).cast("int")))
+    open_ = {r["bucket"] for r in todo.select("bucket").distinct().collect()}  # BUCKETS at most
+    outcomes = []
+    while open_:
+        entries = {b: _entries(spark, path, b) for b in open_}
+        held = [_data(path, b, e) for b, own in entries.items() for e in own]
+        known = spark.read.schema(facts.schema).parquet(*held) if held else spark.createDataFrame([], facts.schema)
+        known = known.groupBy("sheet_uid").agg(F.max("owner").alias("held_by"))
+        asked = todo.where(c("bucket").isin(*open_)).select("sheet_uid", "bucket").distinct().join(known, "sheet_uid", "left")
+        outcome = settled(asked.select("sheet_uid", "bucket", F.when(c("held_by").isNull(), "stored").when(c("held_by") == owner, "already_there").otherwise("conflict").alias("outcome")))
+        commit = uuid.uuid4().hex
+        new = todo.join(outcome.where("outcome = 'stored'").select("sheet_uid"), "sheet_uid", "left_semi")
+        new.select(*facts.columns, "bucket").write.partitionBy("bucket").parquet(f"{path}/data/{commit}")
+        filled = {r["bucket"] for r in outcome.where("outcome = 'stored'").select("bucket").distinct().collect()}
+        done = {b for b in open_ if b not in filled or _claim(spark, path, b, len(entries[b]), commit)}
+        if done:
+            outcomes.append(settled(outcome.where(c("bucket").isin(*done)).select("sheet_uid", "outcome")))
+        discard(outcome)
+        open_ -= done
+    out = settled(reduce(DataFrame.unionByName, outcomes)) if outcomes else spark.createDataFrame([], "sheet_uid string, outcome string")
+    discard(todo, *outcomes)
+    return out
 
 
 def assign_numbers(new: DataFrame, taken: DataFrame) -> DataFrame:

@@ -1,7 +1,9 @@
 """What arrives bit by bit: files, edits, validated sheets, new sheets. Each job ends as its batch twin would.
 
-State is a table in the shared folder, written anew by each micro-batch under its own number; a batch that is repeated
-after a failure writes the same table again.
+A job may be stopped, fail or be started again at any time on its folder: the query's checkpoint says which input is done, keyed
+state is in Spark's state store, and results are tables below the folder, one part a micro-batch, that a repeated
+batch writes again. No batch reads or rewrites what earlier ones have written; what a later batch supersedes is told apart when
+results are read, by batch number, and compact() folds old parts.
 """
 
 from __future__ import annotations
@@ -11,16 +13,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.operators.audit import last_per_cell, of_generation
-from tallyweave.operators.lineage import scratch_dir
-from tallyweave.sources.sinks import append_new
+from tallyweave.operators.audit import of_generation
+from tallyweave.operators.lineage import discard, scratch_dir, settled
+from tallyweave.sources.sinks import append_new, archive_rows
 
 c = F.col
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def run(stream: DataFrame, each: Callable[[DataFrame, int], None], folder: str) -> None:
-    """Takes all that is there in micro-batches and ends."""
-    stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+def run(stream: DataFrame, each: Callable[[DataFrame, int], None], folder: str, mode: str = "append") -> None:
+    """Takes all that is there in micro-batches and ends. Where the same folder is given again, it goes on behind them."""
+    spark = stream.sparkSession
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    try:
+        stream.writeStream.foreachBatch(each).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        if before is None:
+            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+        else:
+            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
 
 
 def table_stream(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
@@ -32,84 +44,103 @@ def table_stream(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
     return reader.parquet(path)
 
 
-class State:
-    """The versions of a table that a job keeps."""
+def parts(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """All parts that a job has written below folder, with the batch of each; empty before the first one."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], f"{schema}, batch long")
+    return spark.read.schema(f"{schema}, batch long").parquet(folder)
+
+
+def write_part(df: DataFrame, folder: str, batch: int) -> None:
+    """A batch that is repeated after a failure replaces its own part."""
+    df.write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+
 
-    def __init__(self, spark: SparkSession, folder: str, schema: str):
-        self.spark, self.folder, self.schema, self.last = spark, folder, schema, None
+def compact(spark: SparkSession, folder: str, schema: str, keep: Callable[[DataFrame], DataFrame]) -> None:
+    """Folds all parts into that of the last batch: keep(parts) says what still counts. Not while the job runs.
+
+    The folded part is written beside the others first; a failure between the two steps leaves rows twice that mean the same.
+    """
+    held = parts(spark, folder, schema)
+    last = held.agg(F.max("batch")).first()[0]
+    if last is None:
+        return
+    whole = settled(keep(held).drop("batch"))
+    write_part(whole, folder, last)
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in fs.listStatus(root):
+        name = status.getPath().getName()
+        if name.startswith("batch=") and int(name.removeprefix("batch=")) < last:
+            fs.delete(status.getPath(), True)
+    discard(whole)
 
-    def read(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/{self.last}") if self.last is not None else self.spark.createDataFrame([], self.schema)
 
-    def write(self, df: DataFrame, batch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.folder}/{batch}")
-        self.last = batch
+INGESTED = "sha string, name string"
 
 
 def ingest(files: DataFrame, ledger: DataFrame, folder: str) -> DataFrame:
-    """name, sha of files that neither the ledger nor an earlier batch has; files: a stream of name, sha.
+    """sha, name of each content that the ledger lacks, under its least name; files: a stream of name, sha.
 
-    Repeats within an hour are dropped as they come; older ones meet the state.
+    Contents are kept in the state store with their name, so that however late a repeat comes, and however often the job is
+    started again, a content is taken once. A part holds what a batch added or named anew.
     """
-    state = State(files.sparkSession, f"{folder}/state", "sha string, name string")
+    fresh = files.where("sha is not null").join(ledger.select("sha").distinct(), "sha", "left_anti")
+    run(fresh.groupBy("sha").agg(F.min("name").alias("name")), lambda batch, number: write_part(batch.select("sha", "name"), f"{folder}/new", number), folder, "update")
+    return last_names(parts(files.sparkSession, f"{folder}/new", INGESTED)).drop("batch")
 
-    def each(batch: DataFrame, number: int) -> None:
-        seen = state.read()
-        fresh = batch.select("sha", "name").join(ledger.select("sha"), "sha", "left_anti").join(seen.select("sha"), "sha", "left_anti")
-        state.write(seen.unionByName(fresh.groupBy("sha").agg(F.min("name").alias("name"))), number)
 
-    timed = files.where("sha is not null").withColumn("seen_at", F.current_timestamp()).withWatermark("seen_at", "1 hour")
-    run(timed.dropDuplicatesWithinWatermark(["sha"]), each, folder)
-    return state.read()
+def last_names(held: DataFrame) -> DataFrame:
+    """Each content under its least name; also what compact() keeps."""
+    return held.groupBy("sha").agg(F.min("name").alias("name"), F.max("batch").alias("batch"))
+
+
+CELLS = "sheet_uid string, field_path string, id long, old_value string, new_value string"
 
 
 def evidence(edits: DataFrame, sheets: DataFrame, folder: str) -> DataFrame:
     """sheet_uid, field_path, id, new_value: a person's last value of each cell in the sheet's generation.
 
-    An event of an earlier generation is too late however soon it comes; otherwise ids decide, not arrival.
+    The state store holds each cell's last event; ids decide, not arrival. An event at or below the sheet's floor is too late
+    however soon it comes. sheets (sheet_uid, event_floor) may have higher floors when the job is started again: what lies below
+    them no longer counts, written before or not.
     """
-    state = State(edits.sparkSession, f"{folder}/state", "sheet_uid string, field_path string, id long, old_value string, new_value string, source string")
+    floors = sheets.select("sheet_uid", "event_floor")
+    human = of_generation(edits.where("source = 'human'"), floors)
+    last = F.max(F.struct("id", "old_value", "new_value")).alias("x")
+    cells = human.groupBy("sheet_uid", "field_path").agg(last)
+    run(cells, lambda batch, number: write_part(batch.select("sheet_uid", "field_path", "x.*"), f"{folder}/cells", number), folder, "update")
+    held = last_cells(parts(edits.sparkSession, f"{folder}/cells", CELLS))
+    return of_generation(held, floors).select("sheet_uid", "field_path", "id", "new_value")
+
+
+def last_cells(held: DataFrame) -> DataFrame:
+    """Each cell's part with the greatest id; also what compact() keeps."""
+    one = F.max(F.struct("id", "old_value", "new_value", "batch")).alias("x")
+    return held.groupBy("sheet_uid", "field_path").agg(one).select("sheet_uid", "field_path", "x.*")
 
-    def each(batch: DataFrame, number: int) -> None:
-        new = of_generation(batch.where("source = 'human'"), sheets).select("sheet_uid", "field_path", "id", "old_value", "new_value", "source")
-        state.write(last_per_cell(state.read().unionByName(new)), number)
 
-    run(edits, each, folder)
-    return state.read().select("sheet_uid", "field_path", "id", "new_value")
+OUTCOMES = "sheet_uid string, outcome string"
 
 
 def archive(facts: DataFrame, folder: str, owner: str) -> tuple[DataFrame, DataFrame]:
-    """The archive that a stream of facts fills, and the outcome of each sheet and batch; replays add nothing."""
+    """The archive that a stream of facts fills, and the outcome of each sheet and batch, over all runs; replays add nothing."""
     spark = facts.sparkSession
-    outcomes: list[DataFrame] = []
 
     def each(batch: DataFrame, number: int) -> None:
-        if batch.limit(1).count():
-            outcomes.append(append_new(batch, f"{folder}/archive", owner).withColumn("batch", F.lit(number)))
+        outcome = append_new(batch, f"{folder}/archive", owner)
+        write_part(outcome, f"{folder}/outcomes", number)
+        discard(outcome)
 
     run(facts, each, folder)
-    status = spark.createDataFrame([], "sheet_uid string, outcome string, batch int")
-    for x in outcomes:
-        status = status.unionByName(x)
-    held = spark.read.schema(facts.schema).parquet(f"{folder}/archive") if outcomes else spark.createDataFrame([], facts.schema)
-    return held, status
+    return archive_rows(spark, f"{folder}/archive", facts.schema), parts(spark, f"{folder}/outcomes", OUTCOMES)
 
 
 def match(rows: DataFrame, link: Callable[[DataFrame], DataFrame], schema: str, folder: str) -> DataFrame:
     """What link() says of each batch of new sheets, against a plan that is pinned for the whole run."""
-    state = f"{folder}/matches"
-
-    def each(batch: DataFrame, number: int) -> None:
-        link(batch).write.mode("overwrite").parquet(f"{state}/batch={number}")
-
-    run(rows, each, folder)
-    found = rows.sparkSession.read
-    try:
-        return found.schema(schema).parquet(*[f"{state}/batch=*"])
-    except Exception as e:  # no batch at all
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return rows.sparkSession.createDataFrame([], schema)
+    run(rows, lambda batch, number: write_part(link(batch), f"{folder}/matches", number), folder)
+    return parts(rows.sparkSession, f"{folder}/matches", schema).drop("batch")
 
 
 def new_folder(spark: SparkSession) -> str:

@@ -1,5 +1,7 @@
 """Loops, sinks and streams: replays, late events, cycles, empty tables."""
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import functions as F
 
 from tallyweave.operators import decisions as D
@@ -17,7 +19,7 @@ def test_append_twice_adds_nothing(spark):
     assert {r["outcome"] for r in sinks.append_new(facts, path, "own").collect()} == {"stored"}
     assert {r["outcome"] for r in sinks.append_new(facts, path, "own").collect()} == {"already_there"}
     assert {r["outcome"] for r in sinks.append_new(facts, path, "other").collect()} == {"conflict"}
-    assert spark.read.parquet(path).count() == 3
+    assert sinks.archive_rows(spark, path, facts.schema).count() == 3
 
 
 def test_numbers_are_not_given_twice(spark):
@@ -54,7 +56,83 @@ def test_archive_stream_replayed(spark):
     held, status = jobs.archive(jobs.table_stream(spark, source._scratch, 2), folder, "own")
     assert held.count() == 20 and {r["outcome"] for r in status.collect()} == {"stored"}
     jobs.run(jobs.table_stream(spark, source._scratch, 1), lambda b, n: sinks.append_new(b, f"{folder}/archive", "own"), jobs.new_folder(spark))
-    assert spark.read.parquet(f"{folder}/archive").count() == 20
+    assert sinks.archive_rows(spark, f"{folder}/archive", source.schema).count() == 20
+
+
+def test_two_writers_at_once_store_each_sheet_once(spark):
+    path = scratch_dir(spark)
+    facts = spark.createDataFrame([(f"s{i}", "own", float(i)) for i in range(40) for _ in range(2)], FACTS)
+    with ThreadPoolExecutor(3) as pool:
+        found = list(pool.map(lambda _: {r["sheet_uid"]: r["outcome"] for r in sinks.append_new(facts, path, "own").collect()}, range(3)))
+    assert sinks.archive_rows(spark, path, facts.schema).count() == 80
+    assert all(sorted(f[f"s{i}"] for f in found) == ["already_there", "already_there", "stored"] for i in range(40))
+
+
+def test_what_a_writer_left_behind_does_not_count(spark):
+    path = scratch_dir(spark)
+    facts = spark.createDataFrame([("a", "own", 1.0)], FACTS)
+    facts.selectExpr("*", "0 AS bucket").write.partitionBy("bucket").parquet(f"{path}/data/stopped")  # no entry was made
+    assert sinks.archive_rows(spark, path, facts.schema).count() == 0
+    assert {r["outcome"] for r in sinks.append_new(facts, path, "own").collect()} == {"stored"} and sinks.archive_rows(spark, path, facts.schema).count() == 1
+    assert sinks._claim(spark, path, 31, 0, "x") and not sinks._claim(spark, path, 31, 0, "y") and sinks._entries(spark, path, 31) == ["x"]
+    none = facts.limit(0)
+    assert sinks.append_new(none, path, "own").count() == 0
+
+
+def arrive(spark, path, rows, schema):
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+
+
+def test_evidence_goes_on_after_a_restart(spark):
+    """Three runs on one folder, the last one without news; then a floor that rises; then old parts folded."""
+    folder, path = jobs.new_folder(spark), scratch_dir(spark)
+    floors = spark.createDataFrame([("a", 0), ("b", 0)], "sheet_uid string, event_floor long")
+    run = lambda f: {(r["sheet_uid"], r["field_path"]): (r["id"], r["new_value"]) for r in jobs.evidence(jobs.table_stream(spark, path), f, folder).collect()}
+    arrive(spark, path, [(1, "a", "rows[0].of", None, "one", "human"), (5, "a", "rows[1].of", None, "five", "human"), (6, "a", "rows[1].of", None, "engine", "system")], EDITS)
+    assert run(floors) == {("a", "rows[0].of"): (1, "one"), ("a", "rows[1].of"): (5, "five")}
+    arrive(spark, path, [(2, "b", "rows[0].of", None, None, "human"), (4, "a", "rows[1].of", None, "late", "human"), (7, "a", "rows[0].of", "one", "seven", "human")], EDITS)
+    after = {("a", "rows[0].of"): (7, "seven"), ("a", "rows[1].of"): (5, "five"), ("b", "rows[0].of"): (2, None)}
+    assert run(floors) == after and run(floors) == after
+    risen = spark.createDataFrame([("a", 6), ("b", 0)], "sheet_uid string, event_floor long")
+    assert run(risen) == {k: v for k, v in after.items() if k != ("a", "rows[1].of")}
+    jobs.compact(spark, f"{folder}/cells", jobs.CELLS, jobs.last_cells)
+    assert run(floors) == after and jobs.parts(spark, f"{folder}/cells", jobs.CELLS).count() == 3
+
+
+def test_ingest_goes_on_after_a_restart(spark):
+    """Repeats in a batch, in a later run, under an earlier name, and of the ledger."""
+    folder, path, schema = jobs.new_folder(spark), scratch_dir(spark), "name string, sha string"
+    ledger = spark.createDataFrame([("old",)], "sha string")
+    run = lambda: sorted((r["sha"], r["name"]) for r in jobs.ingest(jobs.table_stream(spark, path), ledger, folder).collect())
+    arrive(spark, path, [("m", "x"), ("n", "x"), ("o", "old"), ("p", None), ("q", "y")], schema)
+    assert run() == [("x", "m"), ("y", "q")]
+    arrive(spark, path, [("z", "x"), ("r", "w"), ("s", "old")], schema)
+    arrive(spark, path, [("b", "y"), ("r2", "w")], schema)
+    assert run() == [("w", "r"), ("x", "m"), ("y", "b")] == run()
+    jobs.compact(spark, f"{folder}/new", jobs.INGESTED, jobs.last_names)
+    assert run() == [("w", "r"), ("x", "m"), ("y", "b")]
+
+
+def test_archive_goes_on_after_a_restart(spark):
+    folder, path = jobs.new_folder(spark), scratch_dir(spark)
+    run = lambda: jobs.archive(jobs.table_stream(spark, path), folder, "own")
+    arrive(spark, path, [("a", "own", 1.0), ("b", "own", 2.0)], FACTS)
+    held, status = run()
+    assert held.count() == 2 and status.count() == 2
+    arrive(spark, path, [("b", "own", 2.0), ("c", "own", 3.0)], FACTS)
+    for _ in range(2):
+        held, status = run()
+        assert sorted(r["sheet_uid"] for r in held.collect()) == ["a", "b", "c"]
+        assert sorted((r["sheet_uid"], r["outcome"]) for r in status.collect()) == [("a", "stored"), ("b", "already_there"), ("b", "stored"), ("c", "stored")]
+
+
+def test_match_goes_on_after_a_restart(spark):
+    folder, path, schema = jobs.new_folder(spark), scratch_dir(spark), "sheet_uid string, pos long"
+    run = lambda: sorted(map(tuple, jobs.match(jobs.table_stream(spark, path), lambda df: df.selectExpr("sheet_uid", "pos", "'k' AS plan_key"), f"{schema}, plan_key string", folder).collect()))
+    arrive(spark, path, [("a", 1)], schema)
+    assert run() == [("a", 1, "k")]
+    arrive(spark, path, [("b", 1)], schema)
+    assert run() == [("a", 1, "k"), ("b", 1, "k")] == run()
 
 
 def test_salvage_of_a_cut_transcript(spark):
