@@ -1,4 +1,4 @@
-"""The ten queries and the pipeline against brute force, on rows with nulls, ties, repeats, copies and clashing columns."""
+"""The queries and the pipeline against brute force, on rows with nulls, ties, repeats, copies and clashing columns."""
 
 import base64
 import hashlib
@@ -50,9 +50,18 @@ def write(folder, rows) -> str:
     pq.write_table(pa.Table.from_arrays([pa.array([r[j] for r in full], f.type) for j, f in enumerate(SCHEMA)], schema=SCHEMA), f"{folder}/documents.parquet")
     labels = [(i, int(len(t or "") > 300), 0) for i, t, *_ in rows]
     pq.write_table(pa.Table.from_arrays([pa.array([r[j] for r in labels], f.type) for j, f in enumerate(LABELS)], schema=LABELS), f"{folder}/labels.parquet")
+    write_others(folder, [], [])
     return str(folder)
 
 
+def write_others(folder, items, turns) -> None:
+    """benchmark of (item_id, text) and conversations of (conv_id, turn, role, text), each with a column that clashes."""
+    tables = {"benchmark": ([("item_id", pa.int64()), ("text", pa.string()), ("name", pa.string())], [(*r, "x") for r in items]), "conversations": ([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string()), ("path", pa.string())], [(*r, "x") for r in turns])}
+    for name, (fields, rows) in tables.items():
+        schema = pa.schema(fields)
+        pq.write_table(pa.Table.from_arrays([pa.array([r[j] for r in rows], f.type) for j, f in enumerate(schema)], schema=schema), f"{folder}/{name}.parquet")
+
+
 @pytest.fixture(scope="module")
 def rows():
     return corpus()
