@@ -12,7 +12,12 @@ MODULES = [scalar, linking, reporting, balances, decisions, lists, transfer]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
+    out: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+    for m in MODULES:
+        if twice := out.keys() & m.QUERIES.keys():
+            raise ValueError(f"registered twice: {sorted(twice)}")
+        out |= m.QUERIES
+    return out
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 c = F.col
@@ -112,11 +112,11 @@ def list_sheets(sheets: DataFrame, status: str | None = None, operador: str | No
     return sheets.orderBy(c("created_on").desc(), c("sheet_no").desc(), c("sheet_uid").desc())
 
 
-def page(df: DataFrame, order: list[Column], offset: int, limit: int) -> tuple[DataFrame, bool]:
-    """Rows of one page, and whether more follow: one row beyond the page is looked for, none counted."""
-    one_more = df.orderBy(*order).offset(offset).limit(limit + 1)
-    found = one_more.count()
-    return one_more.limit(limit), found > limit
+def page(df: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:
+    """Rows of one page with has_more: one row beyond the page is looked for, none counted, and sorted once."""
+    held = df.orderBy(*order).offset(offset).limit(limit + 1).select("*", F.row_number().over(Window.orderBy(*order)).alias("_k"))  # limit + 1 rows
+    more = F.max("_k").over(Window.partitionBy(F.lit(0))) > limit
+    return held.withColumn("has_more", more).where(c("_k") <= limit).drop("_k")
 
 
 def after_key(df: DataFrame, keys: list[str], last: tuple, limit: int) -> DataFrame:
@@ -125,17 +125,27 @@ def after_key(df: DataFrame, keys: list[str], last: tuple, limit: int) -> DataFr
     return df.where(behind).orderBy(*keys).limit(limit)
 
 
-def lookup(plan: DataFrame, q: str, done: bool = False, offset: int = 0, limit: int = 50) -> DataFrame:
-    """mode and the plan lines that a search finds: by order, else sales order, else the model's beginning. The first of
-    these that the plan knows decides, even if all its lines are done and therefore hidden."""
-    code = q.strip().upper()
+def lookup(plan: DataFrame, q: str | None, done: bool = False, offset: int = 0, limit: int = 50) -> DataFrame:
+    """mode, has_more and the plan lines that a search finds: by order, else sales order, else the model's beginning. The first of
+    these that the plan knows decides, even if all its lines are done and therefore hidden. A blank search finds nothing.
+    """
+    code = (q or "").strip().upper()
     ways = (("of", c("of_code").isin(f"OF{code.removeprefix('OF')}", code)), ("ov", c("ov").isin(f"OV{code.removeprefix('OV')}", code)), ("modelo", F.upper("modelo").startswith(code)))
-    for mode, hit in ways:
+    for mode, hit in ways if code else ():
         found = plan.where(hit)
         if found.limit(1).count():
             shown = found if done else found.where((c("qtd_restante") > 0) | ~c("falta_valida"))
-            return shown.orderBy(c("qtd_restante").asc_nulls_last(), "of_code", "perfil", "modelo", "plan_key").offset(offset).limit(limit).withColumn("mode", F.lit(mode))
-    return plan.limit(0).withColumn("mode", F.lit("none"))
+            return page(shown, [c("qtd_restante").asc_nulls_last(), c("of_code"), c("perfil"), c("modelo"), c("plan_key")], offset, limit).withColumn("mode", F.lit(mode))
+    return plan.limit(0).withColumn("has_more", F.lit(False)).withColumn("mode", F.lit("none"))
+
+
+def order_lines(plan: DataFrame, of: str, perfil: str | None = None) -> DataFrame:
+    """An order's lines, with or without its prefix, of profiles that begin so if one is asked for, by profile and key."""
+    code = of.strip().upper()
+    lines = plan.where(c("of_code").isin(f"OF{code.removeprefix('OF')}", code))
+    if perfil and perfil.strip():
+        lines = lines.where(F.upper(F.trim("perfil")).startswith(perfil.strip().upper()))
+    return lines.orderBy("perfil", "plan_key")
 
 
 def contains_search(df: DataFrame, q: str, columns: tuple[str, ...]) -> DataFrame:

@@ -195,21 +195,6 @@ def _exact(rows: DataFrame, plan: DataFrame, cap: int | None) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
-def dims_candidates(rows: DataFrame, lines: DataFrame, key: str, line_key: str, tolerances: dict[str, float], cap: int = CAP) -> DataFrame:
-    """key, line_key of lines within all tolerances of a row's dimensions, the first ``cap`` by line_key.
-
-    Rows and lines meet by buckets of all dimensions at once, as wide as the tolerances, and their neighbours.
-    """
-    near, far = rows, lines.select(line_key, *(c(d).alias(f"_{d}") for d in tolerances))
-    for d, tolerance in tolerances.items():
-        b = F.floor(c(d) / tolerance)
-        near = near.withColumn(f"_b{d}", F.explode(F.sequence(b - 1, b + 1)))
-        far = far.withColumn(f"_b{d}", F.floor(c(f"_{d}") / tolerance))
-    within = reduce(lambda x, y: x & y, (F.abs(c(d) - c(f"_{d}")) <= tolerance for d, tolerance in tolerances.items()))
-    pairs = near.join(far, [f"_b{d}" for d in tolerances]).where(within).select(key, line_key)
-    return pairs.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(line_key))).where(c("_k") <= cap).drop("_k")
-
-
 def effective_rows(carried: DataFrame) -> DataFrame:
     """Adds of, ov, perfil (the cell's own value, else what is carried to it) and of_inherited."""
     for f in CARRIED:

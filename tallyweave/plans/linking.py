@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions import normalize as N
 from tallyweave.functions import similarity as S
-from tallyweave.operators import decode, linkage as L
+from tallyweave.operators import decode
+from tallyweave.operators import dims as DM
+from tallyweave.operators import linkage as L
 from tallyweave.operators import ranking as R
-from tallyweave.operators.lineage import settled
+from tallyweave.operators import sheets as H
+from tallyweave.operators.lineage import discard, settled
 
 from .registry import Registry
 from .scalar import CODE, COST, RATIO, WRITTEN, ZERO_O
@@ -92,11 +95,16 @@ def _(t):
     return L.effective_rows(L.carry_down(t.rows)).select(*KEY, "of", "ov", "perfil", "of_inherited")
 
 
-@query("w3_segments", f"""WITH {CARRY}, s AS (SELECT *, of_eff IS NULL OR CAST(substr(sheet_uid, 3) AS BIGINT) % 5 = 0 AND pos % 6 = 0 AS alone FROM carried),
-b AS (SELECT *, alone OR coalesce(lag(alone) OVER (PARTITION BY sheet_uid ORDER BY pos), false) AS start FROM s) SELECT sheet_uid, pos, CAST(sum(CASE WHEN start THEN 1 ELSE 0 END) OVER (PARTITION BY sheet_uid ORDER BY pos) AS BIGINT) AS segment FROM b""")
+#: Every eleventh row of a sheet is for a hall of the house, every 17th cleaning, every 23rd deleted, every 29th waits for its identity.
+_MARKS = "m AS (SELECT sheet_uid, pos, pos % 11 = 5 AS internal, CASE WHEN pos % 23 = 7 THEN 'deleted' WHEN pos % 29 = 9 THEN 'unresolved' WHEN coalesce(of_written, ov_written, perfil_written, modelo_written, perf_comp, qtd_written) IS NULL AND pos % 17 <> 3 AND pos % 11 <> 5 THEN 'empty' WHEN pos % 17 = 3 AND NOT coalesce(CASE WHEN qtd_written = '1.200' THEN 1200 ELSE TRY_CAST(qtd_written AS DOUBLE) END > 0, false) THEN 'activity' ELSE 'production' END AS kind FROM sheet_rows)"
+
+
+@query("w3_segments", f"""WITH {_MARKS}, f AS (SELECT *, last_value(CASE WHEN kind NOT IN ('deleted', 'unresolved') THEN internal END IGNORE NULLS) OVER (PARTITION BY sheet_uid ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM m),
+n AS (SELECT *, sum(CASE WHEN kind <> 'deleted' AND (kind <> 'production' OR internal OR coalesce(before, false)) THEN 1 ELSE 0 END) OVER (PARTITION BY sheet_uid ORDER BY pos) AS n FROM f)
+SELECT sheet_uid, pos, kind, CASE WHEN kind = 'production' THEN concat(sheet_uid, '#', CAST(n AS VARCHAR)) END AS segment FROM n""")
 def _(t):
-    internal = (F.substr("sheet_uid", F.lit(3)).cast("long") % 5 == 0) & (c("pos") % 6 == 0)
-    return R.segments(L.carry_down(t.rows).withColumn("internal", internal)).select(*KEY, "segment")
+    marked = t.rows.withColumns({"cliente_written": F.when(c("pos") % 11 == 5, "Pavilhão 2").when(c("pos") % 17 == 3, "limpeza"), "deleted": c("pos") % 23 == 7, "unresolved": c("pos") % 29 == 9})
+    return H.segments(H.row_kinds(marked)).select(*KEY, "kind", "segment")
 
 
 @query("w4_rank_candidates", f"WITH {RANKED} SELECT sheet_uid, pos, plan_key, bits, agree, rank FROM ranked")
@@ -138,25 +146,19 @@ def _(t):
     return ranked_of(t).groupBy(*KEY, "of_code", "perfil").agg(F.min_by("plan_key", "rank").alias("plan_key"))
 
 
-def decoded(t):
-    best = F.max(F.struct("bits", c("open").cast("int").alias("open"))).alias("x")
-    states = t.pool.groupBy(*KEY, "of_code", "perfil").agg(best, F.min("plan_key").alias("semantic"), F.any_value("of_written").alias("of_written"), F.any_value("perfil_written").alias("perfil_written"))
-    return decode.decode(states.select(
-        c("sheet_uid").alias("segment"), "pos", c("of_code").alias("of"), "perfil", c("x.bits").alias("score"), c("x.open").alias("open"), "semantic",
-        N.written(c("of_written")).isNull().alias("of_blank"), N.written(c("perfil_written")).isNull().alias("perfil_blank"),
-    ))
-
-
 @query("w11_decode_sequence")
 def _(t):
-    """No SQL: a path over the states of a sheet; tests/test_decode.py holds it against all paths of short segments."""
-    return decoded(t).select("segment", "pos", "of", "perfil")
+    """No SQL: the best path over the states of each segment; tests/test_decode.py holds it against all paths."""
+    lines, pool = sheet_pool(t)
+    return decode.decode_all(H.states_of(pool, lines)).select("segment", "pos", "of", "perfil", "continuity")
 
 
 @query("w12_max_marginals")
 def _(t):
-    """No SQL, as w11: micro-bits that the best path loses against one through another state."""
-    return decoded(t).select("segment", "pos", "support")
+    """No SQL, as w11: micro-bits that the best path through each state lacks to the best of all."""
+    lines, pool = sheet_pool(t)
+    found = decode.decode_all(H.states_of(pool, lines)).select("segment", "pos", F.explode("supports").alias("s"))
+    return found.select("segment", "pos", "s.of", "s.perfil", "s.support")
 
 
 @query("w13_tiebreak_reason", "WITH r AS (SELECT *, row_number() OVER (PARTITION BY sheet_uid, pos ORDER BY bits DESC, open DESC, plan_key) AS rank, count(*) OVER s AS n, NOT bool_and(open) OVER s AS some_closed FROM pool WINDOW s AS (PARTITION BY sheet_uid, pos, bits)) SELECT sheet_uid, pos, plan_key, CASE WHEN n = 1 THEN 'direct_evidence' WHEN open AND some_closed THEN 'current_positive_remaining' ELSE 'semantic_key' END AS reason FROM r WHERE rank = 1")
@@ -213,13 +215,32 @@ def _(t):
     return L.tolerance_join(p.select("p_partkey", c("p_retailprice").alias("x")), p.select(c("p_partkey").alias("other"), c("p_retailprice").alias("y")), "x", "y", 1.5).select("p_partkey", "other")
 
 
-@query("j6_dims_intersection", """WITH d AS (SELECT p_partkey, p_size AS a, p_retailprice AS b FROM part), i AS (SELECT x.p_partkey, y.p_partkey AS other FROM d x JOIN d y ON y.a BETWEEN x.a - 1 AND x.a + 1 AND y.b BETWEEN x.b - 20.1 AND x.b + 20.1 WHERE abs(x.b - y.b) <= 20.0 AND x.p_partkey % 7 <> 0)
+_DIM_ROWS = "r AS (SELECT p_partkey, CASE WHEN p_partkey % 5 <> 0 THEN CAST(p_size AS DOUBLE) END AS a, CASE WHEN p_partkey % 7 <> 0 THEN p_retailprice END AS b FROM part), l AS (SELECT p_partkey AS other, CAST(p_size AS DOUBLE) AS a, CASE WHEN p_partkey % 11 <> 0 THEN p_retailprice END AS b FROM part)"
+DIMS = {"a": 1.0, "b": 20.0}
+
+
+def dim_sides(t):
+    """Parts that lack their size, their price or both, against parts of which some lack the price."""
+    d = t.base("part").select("p_partkey", c("p_size").cast("double").alias("a"), c("p_retailprice").cast("double").alias("b"))
+    rows = d.select("p_partkey", F.when(c("p_partkey") % 5 != 0, c("a")).alias("a"), F.when(c("p_partkey") % 7 != 0, c("b")).alias("b"))
+    return rows, d.select(c("p_partkey").alias("other"), "a", F.when(c("p_partkey") % 11 != 0, c("b")).alias("b"))
+
+
+@query("j6_dims_intersection", f"""WITH {_DIM_ROWS}, i AS (SELECT r.p_partkey, l.other FROM r JOIN l ON r.b IS NULL AND l.a BETWEEN r.a - 1 AND r.a + 1
+  UNION ALL SELECT r.p_partkey, l.other FROM r JOIN l ON r.b IS NOT NULL AND l.b BETWEEN r.b - 20.1 AND r.b + 20.1 WHERE abs(r.b - l.b) <= 20.0 AND (r.a IS NULL OR abs(r.a - l.a) <= 1))
 SELECT p_partkey, other FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY other) AS k FROM i) WHERE k <= 500""")
 def _(t):
-    """Rows without any identity (here every part with two dimensions; every seventh lacks one and finds nothing)."""
-    d = t.base("part").select("p_partkey", c("p_size").cast("double").alias("a"), c("p_retailprice").cast("double").alias("b"))
-    rows = d.select("p_partkey", "a", F.when(c("p_partkey") % 7 != 0, c("b")).alias("b")).where("b is not null")
-    return L.dims_candidates(rows, d.withColumnRenamed("p_partkey", "other"), "p_partkey", "other", {"a": 1.0, "b": 20.0})
+    rows, lines = dim_sides(t)
+    return DM.candidates(rows, lines, "p_partkey", "other", DIMS)
+
+
+@query("e9_joint_counts", f"""WITH {_DIM_ROWS}, k AS (SELECT DISTINCT a, b FROM r), la AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT k.a, k.b, 1 AS mask, CAST(sum(n) AS BIGINT) AS joint FROM k JOIN la ON abs(k.a - la.a) <= 1 GROUP BY k.a, k.b
+UNION ALL SELECT k.a, k.b, 2, count(*) FROM k JOIN l ON l.b BETWEEN k.b - 20.1 AND k.b + 20.1 WHERE abs(k.b - l.b) <= 20 GROUP BY k.a, k.b
+UNION ALL SELECT k.a, k.b, 3, count(*) FROM k JOIN l ON l.b BETWEEN k.b - 20.1 AND k.b + 20.1 WHERE abs(k.b - l.b) <= 20 AND abs(k.a - l.a) <= 1 GROUP BY k.a, k.b""")
+def _(t):
+    """How many lines agree in the size, the price, or both, of each row's dimensions."""
+    return DM.joint_counts(*dim_sides(t), DIMS)
 
 
 @query("j7_uncapped_retry", f"""WITH {CARRY}, {CANDS}, none AS (SELECT r.* FROM rest r ANTI JOIN c2 ON r.sheet_uid = c2.sheet_uid AND r.pos = c2.pos)
@@ -229,10 +250,29 @@ def _(t):
     return L.uncapped_candidates(settled(L.carry_down(t.rows)), t.plan)
 
 
+_POOLS: dict[tuple, tuple] = {}
+
+
+def sheet_pool(t):
+    """The rows and the pool of the second engine, worked out once for all queries of a session that show a part of it."""
+    key = t.spark.sparkContext.applicationId, t.sf_dir
+    if key not in _POOLS:
+        lines, cards = settled(H.sheet_lines(settled(H.row_kinds(t.rows)))), settled(H.plan_cards(t.plan))
+        _POOLS[key] = lines, H.candidate_pool(lines, cards)
+        discard(cards)
+    return _POOLS[key]
+
+
 @query("j8_candidate_union")
 def _(t):
-    """No SQL: exact and similar values of all fields; tests/test_whole_link.py."""
-    return L.candidates(settled(L.carry_down(t.rows)), settled(t.plan))
+    """No SQL: equal and similar values of all fields, by bounds; tests/test_sheets.py holds it against all pairs."""
+    return sheet_pool(t)[1].select(*KEY, "plan_key", "score", "fallback")
+
+
+@query("link_sheets")
+def _(t):
+    """No SQL: the second engine from rows to choices; tests/test_sheets.py holds it against plain loops."""
+    return H.link_sheets(t.rows, t.plan)
 
 
 @query("j9_anchor_expand", f"WITH {CARRY}, a AS (SELECT DISTINCT sheet_uid, {OKEY('of_eff')} AS k FROM carried WHERE of_eff IS NOT NULL) SELECT a.sheet_uid, plan_key FROM a JOIN plan_lines ON a.k = {OKEY('of_code')}")

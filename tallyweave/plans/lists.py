@@ -81,7 +81,7 @@ def _(t):
 
 @query("j13_order_lines", "SELECT plan_key, perfil, qtd_restante FROM plan_lines WHERE of_code = 'OF200033' AND upper(trim(perfil)) LIKE 'L%'")
 def _(t):
-    return t.plan.where((c("of_code") == "OF200033") & F.upper(F.trim("perfil")).startswith("L")).select("plan_key", "perfil", "qtd_restante").orderBy("perfil", "plan_key")
+    return A.order_lines(t.plan, "of200033", "l").select("plan_key", "perfil", "qtd_restante")
 
 
 @query("k1_order_lines", "WITH r AS (SELECT plan_key, of_code, qtd_restante, row_number() OVER (PARTITION BY of_code ORDER BY NOT falta_valida, qtd_restante DESC NULLS LAST, modelo, plan_key) AS place FROM plan_lines) SELECT * FROM r")
@@ -100,8 +100,7 @@ def _(t):
 
 @query("k2_page", "SELECT plan_key, true AS has_more FROM (SELECT plan_key FROM plan_lines ORDER BY qtd_restante NULLS LAST, plan_key LIMIT 50 OFFSET 100)")
 def _(t):
-    rows, more = A.page(t.plan.select("plan_key", "qtd_restante"), [c("qtd_restante").asc_nulls_last(), c("plan_key")], 100, 50)
-    return rows.select("plan_key", F.lit(more).alias("has_more"))
+    return A.page(t.plan.select("plan_key", "qtd_restante"), [c("qtd_restante").asc_nulls_last(), c("plan_key")], 100, 50).select("plan_key", "has_more")
 
 
 @query("k2_page_by_key", "SELECT of_code, plan_key FROM plan_lines WHERE (of_code, plan_key) > ('OF200500', '500:9') ORDER BY of_code, plan_key LIMIT 50")
@@ -127,11 +126,11 @@ def _(t):
     return t.facts.select("sheet_uid", "l_orderkey", "row_index", "plan_key", F.coalesce(c("sheet_date").cast("string"), F.lit("9999")).alias("day"), F.row_number().over(order).alias("place"))
 
 
-_ORDERS = "o AS (SELECT p.of_code, max(p.cliente) AS cliente, max(p.ov) AS ov, max(CASE WHEN f.row_index % 2 = 0 THEN f.sheet_date END) AS last_day FROM plan_lines p LEFT JOIN facts f ON f.plan_key = p.plan_key GROUP BY p.of_code)"
+_ORDERS = "o AS (SELECT p.of_code, max(p.cliente) AS cliente, max(p.ov) AS ov, max(f.sheet_date) AS last_day FROM plan_lines p LEFT JOIN facts f ON f.plan_key = p.plan_key GROUP BY p.of_code)"
 
 
 def orders_shown(t):
-    f = t.facts.where("row_index % 2 = 0").groupBy("plan_key").agg(F.max("sheet_date").alias("d"))
+    f = t.facts.groupBy("plan_key").agg(F.max("sheet_date").alias("d"))
     return t.plan.join(f, "plan_key", "left").groupBy("of_code").agg(F.max("cliente").alias("cliente"), F.max("ov").alias("ov"), F.max("d").alias("last_day"))
 
 

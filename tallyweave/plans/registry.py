@@ -15,6 +15,9 @@ class Registry:
         self.SQL: dict[str, str] = {}
 
     def __call__(self, name: str, sql: str | None = None) -> Callable:
+        if name in self.QUERIES:
+            raise ValueError(f"{name} is registered twice")
+
         def add(build: Callable[[Tables], DataFrame]) -> Callable:
             self.QUERIES[name] = lambda spark, sf_dir: build(Tables(spark, sf_dir))
             if sql:

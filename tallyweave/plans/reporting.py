@@ -95,12 +95,6 @@ def _(t):
     return t.plan.select("plan_key", N.neutralize_formula(F.concat(first, "modelo")).alias("v"))
 
 
-@query("j15_asof_strict", """WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders)
-SELECT 'plan' AS dataset_id, day, (SELECT arg_max(snapshot_id, loaded_at) FROM snapshots WHERE loaded_at < CAST(day AS TIMESTAMP)) AS snapshot_id FROM d""")
-def _(t):
-    return R.asof_before(t.base("orders").select(c("o_orderdate").cast("date").alias("day")), t.snapshots)
-
-
 @query("j22_plan_vs_validated", """WITH p AS (SELECT of_code, sum(qtd_planeada) AS planned FROM plan_lines GROUP BY of_code), f AS (SELECT of_code, sum(qtd) AS made, count(*) AS facts, max(sheet_date) AS last_day FROM facts GROUP BY of_code)
 SELECT coalesce(p.of_code, f.of_code) AS of_code, planned, made, facts, last_day, p.of_code IS NULL AS without_plan FROM p FULL JOIN f ON p.of_code = f.of_code""")
 def _(t):
@@ -118,12 +112,6 @@ def _(t):
     return t.facts.select("plan_key", "row_index", R.line_metres(c("qtd"), c("comp_mm")).alias("metres"))
 
 
-@query("g1_build_evidence", "SELECT sheet_uid, field_path, arg_max(coalesce(new_value, ''), id) AS value FROM edits WHERE source = 'human' AND regexp_full_match(field_path, 'rows\\[\\d+\\]\\.(of|perfil|modelo|qtd)') GROUP BY ALL")
-def _(t):
-    known = t.edits.where((c("source") == "human") & c("field_path").rlike(r"^rows\[\d+\]\.(of|perfil|modelo|qtd)$"))
-    return known.groupBy("sheet_uid", "field_path").agg(F.max_by(F.coalesce("new_value", F.lit("")), "id").alias("value"))
-
-
 @query("u3_difference", "SELECT plan_key FROM plan_lines EXCEPT SELECT plan_key FROM facts WHERE qtd IS NOT NULL")
 def _(t):
     return t.plan.select("plan_key").subtract(t.facts.where("qtd is not null").select("plan_key"))
