@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +14,7 @@ from tallyweave.functions import similarity as S
 
 from .lineage import settled
 from .linkage import field_key, shortened
+from .sheets import link_sheets
 
 c = F.col
 KEY = ("sheet_uid", "pos")
@@ -154,6 +157,18 @@ def fixed_point(rows: DataFrame, step: Callable[[DataFrame], DataFrame], most: i
     return out
 
 
+def settle_sheets(rows: DataFrame, plan: DataFrame, human: DataFrame, most: int = 8) -> DataFrame:
+    """rows as they stand once linking them and writing what their lines say changes nothing more; adds rounds and outcome.
+
+    Only sheets that changed are linked again in the next round. human: sheet_uid, pos, field of cells that a person edited.
+    """
+    def step(open_: DataFrame) -> DataFrame:
+        found = link_sheets(open_, plan).where("plan_key is not null and mode <> 'fallback'").select(*KEY, "plan_key")
+        return applied(open_, substitutions(open_.join(found, list(KEY)), plan, human))
+
+    return fixed_point(rows, step, most)
+
+
 def resolve_operator(sheets: DataFrame, employees: DataFrame) -> DataFrame:
     """sheet_uid, cod, name, rule of who wrote a sheet; employees: cod, full_name. A name alone resolves nobody."""
     digits = F.translate(F.regexp_replace(c("n_operador"), r"[^\p{L}\p{N}]", ""), "Oo", "00")
@@ -175,24 +190,52 @@ def resolve_operator(sheets: DataFrame, employees: DataFrame) -> DataFrame:
     return found.unionByName(fixed.select("sheet_uid", F.coalesce("e_cod", "cod").alias("cod"), F.coalesce("full_name", "name").alias("name"), rule.alias("rule")))
 
 
-def resolve_machine(sheets: DataFrame, catalog: DataFrame, families: tuple[str, ...] = (), top: int = 3) -> DataFrame:
+def resolve_machine(sheets: DataFrame, catalog: DataFrame, families: tuple[str, ...] = (), top: int = 3, aliases: dict[str, str] | None = None, not_in: tuple[str, ...] = ()) -> DataFrame:
     """sheet_uid, machine, status, suggestions of the machine written on a sheet; catalog: display_name.
 
-    Distinct written values meet the catalogue: the same letters and digits, else the most similar names of at least half.
+    A written name is the catalogue's by its letters and digits, or by an alias of it; a name with a word of ``not_in`` is of
+    another sector and confirms nothing. Else the most similar names of at least half are suggested: distinct written names meet the catalogue
+    by length, as a name twice as long can't be half alike. families: names of several machines, which choose none.
     """
-    names = catalog.select("display_name").distinct().withColumn("k", N.compact(c("display_name")))
+    names = catalog.select("display_name").distinct().withColumn("k", N.compact(c("display_name"))).where("k <> ''")
+    for word in not_in:
+        names = names.where(~c("k").contains(word))
     values = sheets.select("setor_maquina").distinct().where(N.written(c("setor_maquina")).isNotNull()).withColumn("w", N.compact(c("setor_maquina")))
-    exact = values.join(names.groupBy("k").agg(F.min("display_name").alias("machine")), c("w") == c("k"), "left").select("setor_maquina", "w", "machine")
-    # every name of the catalogue stands for a machine of a factory: tens of rows, so distinct values meet each by a constant key
-    pairs = exact.where("machine is null").withColumn("one", F.lit(1)).join(names.withColumn("one", F.lit(1)), "one").withColumn("sim", S.ratio(c("w"), c("k"))).where("sim >= 0.5")
+    listed = {_compact(a): _compact(b) for a, b in (aliases or {}).items()}
+    meant = F.coalesce(F.create_map(*(F.lit(x) for pair in listed.items() for x in pair))[c("w")], c("w")) if listed else c("w")
+    by_name = names.groupBy("k").agg(F.min("display_name").alias("machine"))
+    own = values.join(by_name, c("w") == c("k"), "left").drop("k").withColumn("meant", F.when(c("machine").isNull(), meant))
+    exact = own.join(by_name.toDF("meant", "by_alias"), "meant", "left").select("setor_maquina", "w", F.coalesce("machine", "by_alias").alias("machine"))
+    n = F.length("w")
+    asked = exact.where("machine is null and w <> ''").withColumn("n", F.explode(F.sequence(F.ceil(n / 2), 2 * n)))
+    pairs = asked.join(names.withColumn("n", F.length("k").cast("long")), "n").withColumn("sim", S.ratio(c("w"), c("k"))).where("sim >= 0.5")
     best = pairs.withColumn("r", F.row_number().over(Window.partitionBy("setor_maquina").orderBy(c("sim").desc(), "display_name"))).where(c("r") <= top)
-    listed = best.groupBy("setor_maquina").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "display_name"))), lambda x: x["display_name"]).alias("suggestions"))
-    found = exact.join(listed, "setor_maquina", "left")
+    suggested = best.groupBy("setor_maquina").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "display_name"))), lambda x: x["display_name"]).alias("suggestions"))
+    found = exact.join(suggested, "setor_maquina", "left")
     n = F.coalesce(F.size("suggestions"), F.lit(0))
     status = F.when(c("w").isNull(), "missing").when(c("machine").isNotNull(), F.when(c("setor_maquina") == c("machine"), "confirmed").otherwise("corrected")).when(c("w").isin(*families) if families else F.lit(False), "ambiguous").when(n == 1, "review").otherwise("ambiguous")
     return sheets.select("sheet_uid", "setor_maquina").join(found, "setor_maquina", "left").select("sheet_uid", "machine", status.alias("status"), F.array_join("suggestions", ",").alias("suggestions"))
 
 
+def _compact(s: str) -> str:
+    """normalize.compact of a text that isn't in a table."""
+    return re.sub("[^A-Z0-9]", "", unicodedata.normalize("NFKD", s).upper())
+
+
+def plan_conflicts(machines: DataFrame, planned: DataFrame) -> DataFrame:
+    """machines with status conflict, and the plan's machines as suggestions, where a sheet's strong rows are planned on others only.
+
+    planned: sheet_uid, machines as plan_machines() lists them.
+    """
+    found = machines.join(planned.select("sheet_uid", c("machines").alias("planned")), "sheet_uid", "left")
+    held = F.transform(F.split("planned", ","), N.compact)
+    other = c("machine").isNotNull() & (F.coalesce(c("planned"), F.lit("")) != "") & ~F.array_contains(held, N.compact(c("machine")))
+    other = F.coalesce(other, F.lit(False))
+    lone = c("machine").isNull() & (F.size(held) == 1) & (c("planned") != "")
+    status = F.when(other, "conflict").when(F.coalesce(lone, F.lit(False)), "review").otherwise(c("status"))
+    return found.select("sheet_uid", "machine", status.alias("status"), F.when(other | F.coalesce(lone, F.lit(False)), c("planned")).otherwise(c("suggestions")).alias("suggestions"))
+
+
 def check_header(sheets: DataFrame, operators: DataFrame, machines: DataFrame, human: DataFrame) -> DataFrame:
     """sheet_uid, field, status, proposal, auto of the five header fields. sheets: with assumed (a date, or null).
 
