@@ -149,14 +149,14 @@ def _(t):
 @query("w11_decode_sequence")
 def _(t):
     """No SQL: the best path over the states of each segment; tests/test_decode.py holds it against all paths."""
-    lines, pool = sheet_pool(t)
+    _, lines, pool = sheet_pool(t)
     return decode.decode_all(H.states_of(pool, lines)).select("segment", "pos", "of", "perfil", "continuity")
 
 
 @query("w12_max_marginals")
 def _(t):
     """No SQL, as w11: micro-bits that the best path through each state lacks to the best of all."""
-    lines, pool = sheet_pool(t)
+    _, lines, pool = sheet_pool(t)
     found = decode.decode_all(H.states_of(pool, lines)).select("segment", "pos", F.explode("supports").alias("s"))
     return found.select("segment", "pos", "s.of", "s.perfil", "s.support")
 
@@ -254,11 +254,12 @@ _POOLS: dict[tuple, tuple] = {}
 
 
 def sheet_pool(t):
-    """The rows and the pool of the second engine, worked out once for all queries of a session that show a part of it."""
+    """The row kinds, rows and pool of the second engine, worked out once for all queries of a session that show a part of it."""
     key = t.spark.sparkContext.applicationId, t.sf_dir
     if key not in _POOLS:
-        lines, cards = settled(H.sheet_lines(settled(H.row_kinds(t.rows)))), settled(H.plan_cards(t.plan))
-        _POOLS[key] = lines, H.candidate_pool(lines, cards)
+        kinds, cards = settled(H.row_kinds(t.rows)), settled(H.plan_cards(t.plan))
+        lines = settled(H.sheet_lines(kinds))
+        _POOLS[key] = kinds, lines, H.candidate_pool(lines, cards)
         discard(cards)
     return _POOLS[key]
 
@@ -266,13 +267,13 @@ def sheet_pool(t):
 @query("j8_candidate_union")
 def _(t):
     """No SQL: equal and similar values of all fields, by bounds; tests/test_sheets.py holds it against all pairs."""
-    return sheet_pool(t)[1].select(*KEY, "plan_key", "score", "fallback")
+    return sheet_pool(t)[2].select(*KEY, "plan_key", "score", "fallback")
 
 
 @query("link_sheets")
 def _(t):
     """No SQL: the second engine from rows to choices; tests/test_sheets.py holds it against plain loops."""
-    return H.link_sheets(t.rows, t.plan)
+    return H.choices(*sheet_pool(t))
 
 
 @query("j9_anchor_expand", f"WITH {CARRY}, a AS (SELECT DISTINCT sheet_uid, {OKEY('of_eff')} AS k FROM carried WHERE of_eff IS NOT NULL) SELECT a.sheet_uid, plan_key FROM a JOIN plan_lines ON a.k = {OKEY('of_code')}")
