@@ -83,13 +83,12 @@ def align_costs(a: list[str], b: list[str]) -> np.ndarray:
     """align_cost of many pairs at once: a step takes one more character of every a, against all of its b."""
     n, m = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
     out = np.empty(len(a), np.int64)
-    order = np.lexsort((n, m))  # pairs of near lengths share a block, so that one long pair widens few others
-    start = 0
-    while start < len(order):
-        size = max(1, CELLS // (int(m[order[min(start + 4096, len(order)) - 1]]) + 1))
-        block = order[start : start + min(size, 4096)]
-        start += len(block)
-        out[block] = _block_costs([a[i] for i in block], [b[i] for i in block], n[block], m[block])
+    size = np.maximum(np.ceil(np.log2(np.maximum(n, m) + 1)).astype(np.int64), 4)
+    for k in np.unique(size):  # a block holds pairs of like lengths, so that a long one widens no others
+        members, step = np.flatnonzero(size == k), max(1, CELLS >> k)
+        for start in range(0, len(members), step):
+            block = members[start : start + step]
+            out[block] = _block_costs([a[i] for i in block], [b[i] for i in block], n[block], m[block])
     return out
 
 

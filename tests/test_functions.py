@@ -1,5 +1,6 @@
 """Golden values of the written forms."""
 
+import random
 from decimal import Decimal
 
 import pytest
@@ -52,3 +53,15 @@ def test_look_alikes_cost_less_than_other_letters(spark):
 def test_date_that_does_not_exist_is_null(spark):
     assert value(spark, N.canonical_date(F.lit("31/2/2025"))) is None
     assert str(value(spark, N.canonical_date(F.lit("1.2.25")))) == "2025-02-01"
+
+
+def test_costs_of_many_pairs_are_those_of_each(spark):
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("0OQD1IL75S8B6GAÉ漢😀 x") for _ in range(rng.choice([0, 1, 3, 7, 7, 8, 40])))
+    pairs = [(word(), word()) for _ in range(300)] + [("0" * 5000, "O" * 4999), (None, "A"), ("A", None), ("", "")]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    found = df.where("length(a) < 100").select(S.align_cost(F.col("a"), F.col("b")).cast("long").alias("one"), S.align_cost_vector(F.col("a"), F.col("b")).alias("many")).collect()
+    assert len(found) == 302 and all(r.one == r.many for r in found if r.many is not None)
+    assert sum(r.many is None for r in found) == 1
+    whole = [r.many for r in df.select(S.align_cost_vector(F.col("a"), F.col("b")).alias("many")).collect()]
+    assert whole[300] == 2 * 4999 + 5 and whole[301:] == [None, None, 0]
