@@ -257,7 +257,7 @@ def sheet_pool(t):
     """The row kinds, rows and pool of the second engine, worked out once for all queries of a session that show a part of it."""
     key = t.spark.sparkContext.applicationId, t.sf_dir
     if key not in _POOLS:
-        kinds, cards = settled(H.row_kinds(t.rows)), settled(H.plan_cards(t.plan))
+        kinds, cards = settled(H.row_kinds(t.rows)), H.plan_cards(t.plan)
         lines = settled(H.sheet_lines(kinds))
         _POOLS[key] = kinds, lines, H.candidate_pool(lines, cards)
         discard(cards)
