@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweave.functions import normalize as N
@@ -79,6 +79,11 @@ def truth_of(t):
     return t.rows.select(*KEY, "true_plan_key")
 
 
+def split_of(t):
+    n = F.substr("sheet_uid", F.lit(3)).cast("long") % 3
+    return t.rows.select(*KEY, F.when(n == 0, "dev").when(n == 1, "diagnostic").otherwise("held_out").alias("split"), "true_plan_key")
+
+
 @query("link_rows")
 def _(t):
     """No SQL: similar values of every field are searched; tests/test_whole_link.py holds it on small sheets."""
@@ -149,16 +154,17 @@ def _(t):
 @query("w11_decode_sequence")
 def _(t):
     """No SQL: the best path over the states of each segment; tests/test_decode.py holds it against all paths."""
-    _, lines, pool = sheet_pool(t)
-    return decode.decode_all(H.states_of(pool, lines)).select("segment", "pos", "of", "perfil", "continuity")
+    _, lines, pool, cards = sheet_pool(t)
+    found = decode.decode_all(H.states_of(pool, lines)).select("segment", "pos", "of", "perfil", "continuity")
+    return H.valued(found, cards)
 
 
 @query("w12_max_marginals")
 def _(t):
     """No SQL, as w11: micro-bits that the best path through each state lacks to the best of all."""
-    _, lines, pool = sheet_pool(t)
+    _, lines, pool, cards = sheet_pool(t)
     found = decode.decode_all(H.states_of(pool, lines)).select("segment", "pos", F.explode("supports").alias("s"))
-    return found.select("segment", "pos", "s.of", "s.perfil", "s.support")
+    return H.valued(found.select("segment", "pos", "s.of", "s.perfil", "s.support"), cards)
 
 
 @query("w13_tiebreak_reason", "WITH r AS (SELECT *, row_number() OVER (PARTITION BY sheet_uid, pos ORDER BY bits DESC, open DESC, plan_key) AS rank, count(*) OVER s AS n, NOT bool_and(open) OVER s AS some_closed FROM pool WINDOW s AS (PARTITION BY sheet_uid, pos, bits)) SELECT sheet_uid, pos, plan_key, CASE WHEN n = 1 THEN 'direct_evidence' WHEN open AND some_closed THEN 'current_positive_remaining' ELSE 'semantic_key' END AS reason FROM r WHERE rank = 1")
@@ -251,19 +257,28 @@ def _(t):
 
 
 _POOLS: dict[tuple, tuple] = {}
+_CHOICES: dict[tuple, DataFrame] = {}
 
 
 def sheet_pool(t):
-    """The row kinds, rows and pool of the second engine, worked out once for all queries of a session that show a part of it."""
+    """The row kinds, rows, pool and plan of the second engine, worked out once for all queries of a session that show a part of it."""
     key = t.spark.sparkContext.applicationId, t.sf_dir
     if key not in _POOLS:
         kinds, cards = settled(H.row_kinds(t.rows)), H.plan_cards(t.plan)
         lines = settled(H.sheet_lines(kinds))
-        _POOLS[key] = kinds, lines, H.candidate_pool(lines, cards)
-        discard(cards)
+        _POOLS[key] = kinds, lines, H.candidate_pool(lines, cards), cards
     return _POOLS[key]
 
 
+def sheet_choices(t):
+    """The second engine's choices, worked out once like sheet_pool()."""
+    key = t.spark.sparkContext.applicationId, t.sf_dir
+    if key not in _CHOICES:
+        kinds, lines, pool, _ = sheet_pool(t)
+        _CHOICES[key] = H.choices(kinds, lines, pool)
+    return _CHOICES[key]
+
+
 @query("j8_candidate_union")
 def _(t):
     """No SQL: equal and similar values of all fields, by bounds; tests/test_sheets.py holds it against all pairs."""
@@ -273,7 +288,19 @@ def _(t):
 @query("link_sheets")
 def _(t):
     """No SQL: the second engine from rows to choices; tests/test_sheets.py holds it against plain loops."""
-    return H.choices(*sheet_pool(t))
+    return sheet_choices(t)
+
+
+@query("link_sheets_modes")
+def _(t):
+    """No SQL, as link_sheets: how often each mode of the second engine is right; tests/test_sheets.py counts one by one."""
+    return R.mode_report(sheet_choices(t), truth_of(t))
+
+
+@query("link_sheets_metrics")
+def _(t):
+    """No SQL, as link_sheets: orders, models, profiles, recall of its own pool and confidence, by split."""
+    return R.linkage_metrics(sheet_choices(t), sheet_pool(t)[2], split_of(t), t.plan)
 
 
 @query("j9_anchor_expand", f"WITH {CARRY}, a AS (SELECT DISTINCT sheet_uid, {OKEY('of_eff')} AS k FROM carried WHERE of_eff IS NOT NULL) SELECT a.sheet_uid, plan_key FROM a JOIN plan_lines ON a.k = {OKEY('of_code')}")
@@ -328,9 +355,7 @@ def _(t):
 x AS (SELECT t.split, e.of_code = w.of_code AS o, e.modelo = w.modelo AS m, e.perfil = w.perfil AS f, EXISTS (SELECT 1 FROM pool q WHERE q.sheet_uid = t.sheet_uid AND q.pos = t.pos AND q.plan_key = t.true_plan_key) AS held, p FROM t JOIN plan_lines e ON e.plan_key = t.true_plan_key LEFT JOIN matched k ON k.sheet_uid = t.sheet_uid AND k.pos = t.pos LEFT JOIN plan_lines w ON w.plan_key = k.plan_key)
 SELECT split, count(*) AS eligible, count_if(o) AS right_of, count_if(m) AS right_modelo, count_if(o AND m) AS right_pair, count_if(f) AS right_perfil, count_if(held) AS recalled, round(min(p), 6) AS p_min, round(avg(p), 6) AS p_mean, round(max(p), 6) AS p_max, count_if(p >= 0.95) AS sure FROM x GROUP BY split""")
 def _(t):
-    n = F.substr("sheet_uid", F.lit(3)).cast("long") % 3
-    split = F.when(n == 0, "dev").when(n == 1, "diagnostic").otherwise("held_out")
-    return R.linkage_metrics(matched_of(t), t.pool.drop("true_plan_key"), t.rows.select(*KEY, split.alias("split"), "true_plan_key"), t.plan)
+    return R.linkage_metrics(matched_of(t), t.pool.drop("true_plan_key"), split_of(t), t.plan)
 
 
 @query("a22_coverage_rate", f"WITH k AS (SELECT DISTINCT {OKEY('of_code')} AS k FROM plan_lines) SELECT round(avg(CASE WHEN k.k IS NULL THEN 0.0 ELSE 1.0 END), 6) AS rate FROM sheet_rows LEFT JOIN k ON {OKEY('of_written')} = k.k WHERE of_written IS NOT NULL")

@@ -38,4 +38,4 @@ def test_same_rows(spark, duck, name):
 
 def test_without_statement():
     """Those held by tests of their own: test_decode, test_jobs, test_sheets, test_whole_link."""
-    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"link_rows", "link_sheets", "j8_candidate_union", "w11_decode_sequence", "w12_max_marginals", "d8_fixed_point"}
+    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"link_rows", "link_sheets", "link_sheets_modes", "link_sheets_metrics", "j8_candidate_union", "w11_decode_sequence", "w12_max_marginals", "d8_fixed_point"}
