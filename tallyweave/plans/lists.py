@@ -144,14 +144,17 @@ def _(t):
     return A.contains_search(orders_shown(t), " 0012 ", ("cliente", "ov", "of_code")).select("of_code")
 
 
+_SETS = (("of_written", "of_code"), ("modelo_written", "modelo"))
+
+
 @query("u1_union_of_sets", f"SELECT sheet_uid, pos, plan_key FROM sheet_rows JOIN plan_lines ON {OKEY('of_written')} = {OKEY('of_code')} UNION SELECT sheet_uid, pos, plan_key FROM sheet_rows JOIN plan_lines ON {OKEY('modelo_written')} = {OKEY('modelo')}")
 def _(t):
-    return L.exact_candidates(t.rows, t.plan, "of_written", "of_code").unionByName(L.exact_candidates(t.rows, t.plan, "modelo_written", "modelo")).distinct()
+    return L.exact_in_any(t.rows, t.plan, _SETS)
 
 
 @query("u2_intersection_of_sets", f"SELECT sheet_uid, pos, plan_key FROM sheet_rows JOIN plan_lines ON {OKEY('of_written')} = {OKEY('of_code')} INTERSECT SELECT sheet_uid, pos, plan_key FROM sheet_rows JOIN plan_lines ON {OKEY('modelo_written')} = {OKEY('modelo')}")
 def _(t):
-    return L.exact_candidates(t.rows, t.plan, "of_written", "of_code").intersect(L.exact_candidates(t.rows, t.plan, "modelo_written", "modelo"))
+    return L.exact_in_all(t.rows, t.plan, _SETS)
 
 
 _FLOORED = "ev AS (SELECT e.* FROM edits e JOIN all_sheets s ON s.sheet_uid = e.sheet_uid WHERE e.id > s.event_floor)"
