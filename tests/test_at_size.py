@@ -37,3 +37,19 @@ def test_union_gathers_no_pairs(spark):
     assert sorted(map(tuple, found.collect())) == sorted(("s", i, f"k{j}") for i in range(150) for j in range(150) if i % 40 == j % 40 or i % 3 == j % 3)
     plan_of_u1 = catalog.queries()["u1_union_of_sets"](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan_of_u1 and "Union" in plan_of_u1
+
+
+def test_similar_values_do_not_pass_the_driver(spark, monkeypatch):
+    """Only the lengths that values have are sent to all."""
+    seen, write = [], linkage.settled
+    monkeypatch.setattr(linkage, "settled", lambda df: (seen.append(df), write(df))[1])
+    known = write(spark.range(3000).select(F.concat(F.lit("AT1T"), c_text()).alias("v")))
+    written = write(spark.range(0, 3000, 7).select(F.concat(F.lit("AT1T"), c_text()).alias("w")))
+    seen.append(linkage.fuzzy_top(written, known))
+    for df in seen:
+        for sent in re.findall(r"BroadcastExchange.*?\n(.*?)\n", df._jdf.queryExecution().executedPlan().toString()):
+            assert "explode" not in sent.lower() and not re.search(r"\b[wv]#", sent), sent
+
+
+def c_text():
+    return F.lpad(F.col("id").cast("string"), 6, "0")
