@@ -53,3 +53,16 @@ def test_similar_values_do_not_pass_the_driver(spark, monkeypatch):
 
 def c_text():
     return F.lpad(F.col("id").cast("string"), 6, "0")
+
+
+def test_dimensions_stop_at_their_cap(spark, monkeypatch):
+    formed, within = [], dims.within
+    monkeypatch.setattr(dims, "within", lambda *a: (formed.append(within(*a)), formed[-1])[1])
+    rows = spark.range(30).select("id", F.lit(1.0).alias("a"), (F.col("id") % 3).cast("double").alias("b"))
+    rows = rows.unionByName(rows.where("id = 4"))
+    lines = spark.range(20000).select(F.col("id").alias("k"), F.when(F.col("id") % 2 == 0, 1.0).alias("a"), (F.col("id") % 5).cast("double").alias("b"))
+    found = dims.candidates(rows, lines, "id", "k", {"a": 1.0, "b": 1.0}, 10).collect()
+    near = {b: [k for k in range(0, 20000, 2) if abs(k % 5 - b) <= 1][:10] for b in range(3)}
+    doubled = sorted(near[1] * 2)[:10]
+    assert sorted(map(tuple, found)) == sorted((i, k) for i in range(30) for k in (doubled if i == 4 else near[i % 3]))
+    assert sum(f.count() for f in formed) < 5000
