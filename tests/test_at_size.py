@@ -66,3 +66,22 @@ def test_dimensions_stop_at_their_cap(spark, monkeypatch):
     doubled = sorted(near[1] * 2)[:10]
     assert sorted(map(tuple, found)) == sorted((i, k) for i in range(30) for k in (doubled if i == 4 else near[i % 3]))
     assert sum(f.count() for f in formed) < 5000
+
+
+def test_pool_needs_no_join_of_pairs(spark):
+    """The same rows as the statement that other engines run, which Spark would answer with a join."""
+    t = Tables(spark, DIR)
+    assert len(joins(t.pool)) == 3
+    base = {x: t.base(x) for x in ("lineitem", "orders", "customer", "part")}
+    sql = with_views("SELECT * FROM pool", VIEWS)
+    for x in base:
+        sql = re.sub(rf"\b(FROM|JOIN) {x}\b", rf"\1 {{{x}}}", sql)
+    expected = spark.sql(sql, **base)
+    assert expected.columns == t.pool.columns and expected.count() == t.pool.count()
+    assert expected.exceptAll(t.pool).isEmpty()
+
+
+def test_support_and_brier_read_the_pool_once(spark):
+    t = Tables(spark, DIR)
+    for df in (ranking.support_by_value(t.pool), ranking.posterior_by_temperature(t.pool, t.spark.range(1).select(F.lit(9).alias("n")))):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("LATERAL VIEW") + df._jdf.queryExecution().optimizedPlan().toString().count("Generate explode(lines") == 1
