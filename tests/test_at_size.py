@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from tallyweave import catalog
-from tallyweave.operators import dims, linkage, ranking
+from tallyweave.operators import decisions, dims, linkage, ranking
 from tallyweave.sources.tables import VIEWS, Tables, with_views
 from tests.test_queries import DIR
 
@@ -85,3 +85,14 @@ def test_support_and_brier_read_the_pool_once(spark):
     t = Tables(spark, DIR)
     for df in (ranking.support_by_value(t.pool), ranking.posterior_by_temperature(t.pool, t.spark.range(1).select(F.lit(9).alias("n")))):
         assert df._jdf.queryExecution().optimizedPlan().toString().count("LATERAL VIEW") + df._jdf.queryExecution().optimizedPlan().toString().count("Generate explode(lines") == 1
+
+
+def test_rows_meet_their_lines_once(spark):
+    """One join with the plan for all fields, and one look-up a field for rows without a line."""
+    rows = spark.createDataFrame([("s", 1, "k1", "x", "200001", None, "L40X40X3", "AT1T1"), ("s", 2, None, None, "200002", "1", None, "AT1T9"), ("s", 3, "gone", None, "7", None, None, "A")], "sheet_uid string, pos long, plan_key string, perf_comp string, of_eff string, ov_eff string, perfil_eff string, modelo_written string")
+    plan = spark.createDataFrame([("k1", "OF200001", "OV0000001", "L40X40X3", "AT1T7")], "plan_key string, of_code string, ov string, perfil string, modelo string")
+    known = {n: plan.select(linkage.field_key(n, F.col(f)).alias("k")) for n, _, f in decisions.FIELDS}
+    found = decisions.cell_status(rows, plan, known)
+    got = {(r["pos"], r["field"]): r["status"] for r in found.collect()}
+    assert got == {(1, "of"): "confirmed", (1, "ov"): "snapped", (1, "perfil"): "confirmed", (1, "modelo"): "snapped", (2, "of"): "unmatched", (2, "ov"): "unmatched", (2, "perfil"): "na", (2, "modelo"): "unmatched", (3, "of"): "na", (3, "ov"): "na", (3, "perfil"): "na", (3, "modelo"): "na"}
+    assert len(joins(found)) == 5
