@@ -5,6 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from tallyweave import catalog
+from tallyweave.functions import normalize
 from tallyweave.operators import decisions, dims, linkage, ranking
 from tallyweave.sources.tables import VIEWS, Tables, with_views
 from tests.test_queries import DIR
@@ -96,3 +97,19 @@ def test_rows_meet_their_lines_once(spark):
     got = {(r["pos"], r["field"]): r["status"] for r in found.collect()}
     assert got == {(1, "of"): "confirmed", (1, "ov"): "snapped", (1, "perfil"): "confirmed", (1, "modelo"): "snapped", (2, "of"): "unmatched", (2, "ov"): "unmatched", (2, "perfil"): "na", (2, "modelo"): "unmatched", (3, "of"): "na", (3, "ov"): "na", (3, "perfil"): "na", (3, "modelo"): "na"}
     assert len(joins(found)) == 5
+
+
+def test_history_counts_no_distinct_observations(spark):
+    """Lines are made once for both sides, and each side is one aggregate of plain values."""
+    plan = catalog.queries()["j19_history_join"](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert "distinct" not in plan.lower() and "l_orderkey" not in plan
+
+
+def test_usual_forms_need_no_parser(spark):
+    """Codes and angles as they mostly are have the same keys as the longer way gives them."""
+    texts = ["L40X40X3", "l40 x 40X3", "40 x 40 x 3", "L040X40X3", "L40X40X3\n", "LL4X4X4", "4X4", "", None, "12_AB", "OF2", "É1", "0x1x2"]
+    df = spark.createDataFrame([(x,) for x in texts], "s string")
+    long = [normalize.parse_profile(F.col("s"))["key"], normalize._compacted(F.col("s"))]
+    for x, y in df.select(F.struct(normalize.profile_key(F.col("s")), normalize.compact(F.col("s"))), F.struct(*long)).collect():
+        assert tuple(x) == tuple(y)
+    assert df.where(F.col("s").rlike(normalize.IS_ANGLE)).count() == 1 and df.where(F.col("s").rlike(normalize.LIKE_ANGLE)).count() == 3
