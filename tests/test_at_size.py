@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tallyweave import catalog
 from tallyweave.functions import normalize
-from tallyweave.operators import decisions, dims, linkage, ranking
+from tallyweave.operators import balances, decisions, dims, linkage, ranking
+from tallyweave.plans import transfer
 from tallyweave.sources.tables import VIEWS, Tables, with_views
 from tests.test_queries import DIR
 
@@ -113,3 +114,36 @@ def test_usual_forms_need_no_parser(spark):
     for x, y in df.select(F.struct(normalize.profile_key(F.col("s")), normalize.compact(F.col("s"))), F.struct(*long)).collect():
         assert tuple(x) == tuple(y)
     assert df.where(F.col("s").rlike(normalize.IS_ANGLE)).count() == 1 and df.where(F.col("s").rlike(normalize.LIKE_ANGLE)).count() == 3
+
+
+def test_days_meet_no_list_of_loads(spark):
+    """A day asked for looks one load back and one ahead; orders and profiles are joined with nothing."""
+    history = spark.range(40).selectExpr("'o' AS of_code", "'L4X4X4' AS perfil", "concat('m', id) AS snapshot_id", "timestamp'2020-01-01 06:00:00' + make_dt_interval(cast(id * 2 as int)) AS loaded_at", "'A' AS modelo", "1.0D AS comp_mm", "true AS falta_valida", "cast(id as double) AS qtd_restante")
+    asked = spark.range(80).selectExpr("'o' AS of", "'L4X4X4' AS perfil", "date_add(date'2019-12-30', cast(id as int)) AS day")
+    before = asked.selectExpr("day", "CASE WHEN day > date'2020-01-01' THEN concat('m', cast(floor((datediff(day, date'2020-01-01') - 1) / 2) as int)) END AS snapshot_id").selectExpr("day", "CASE WHEN snapshot_id NOT IN ('m3', 'm40') THEN snapshot_id WHEN snapshot_id = 'm3' THEN 'other' ELSE snapshot_id END AS snapshot_id")
+    found = balances.balance_cascade(asked, before, history)
+    assert len(joins(found)) == 1
+    for r in found.join(before.withColumnRenamed("snapshot_id", "last"), "day").collect():
+        day = (r["day"] - __import__("datetime").date(2020, 1, 1)).days
+        held = r["last"] is not None and r["last"] in {f"m{i}" for i in range(40)}
+        later = [i for i in range(40) if i * 2 >= day]
+        expected = (r["last"], False) if held else (f"m{later[0]}", True) if later else (None, None)
+        assert (r["snapshot_id"], r["approximate"]) == expected
+
+
+def test_orders_are_summed_before_rows_meet_them(spark):
+    """Rows meet one row an order, once, not its lines for each source."""
+    assert len(joins(catalog.queries()["j25_recover_refs"](spark, DIR))) == 7
+
+
+def test_stream_of_sheets_has_many_parts(spark, monkeypatch):
+    seen, stream = [], transfer.jobs.table_stream
+    monkeypatch.setattr(transfer.jobs, "table_stream", lambda s, path, files=1: (seen.append((path, files)), stream(s, path, files))[1])
+    catalog.queries()["st4_stream_match"](spark, DIR)
+    path, files = seen[-1]
+    assert (files, len(spark.read.parquet(path).inputFiles())) == (3, 9)
+
+
+def test_refs_are_made_once(spark):
+    plan = catalog.queries()["s14_write_plan_refs"](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan and "Window" not in plan
