@@ -356,14 +356,22 @@ def apply_explicit(matched: DataFrame, bindings: DataFrame, plan: DataFrame, sna
     return df.select(*KEY, F.when(wins, c("bound")).otherwise(c("plan_key")).alias("plan_key"), F.when(wins, "explicit").otherwise(c("mode")).alias("mode"), (c("bound").isNotNull() & ~wins).alias("stale"))
 
 
+SOURCES = ("frozen", "children", "pinned")
+
+
 def recover_refs(facts: DataFrame, frozen: DataFrame, children: DataFrame, pinned: DataFrame) -> DataFrame:
     """sheet_uid, pos, source, refs, quantity, problem: the first source that has anything wins; zero is kept, today's plan never used."""
-    side = lambda df, name: df.groupBy(*KEY).agg(F.count(F.lit(1)).alias(f"n_{name}"), F.sum("quantity").alias(f"q_{name}"))
-    df = facts.select(*KEY).distinct().join(side(frozen, "frozen"), list(KEY), "left").join(side(children, "children"), list(KEY), "left").join(side(pinned, "pinned"), list(KEY), "left")
-    names = ("frozen", "children", "pinned")
-    source = F.coalesce(*(F.when(c(f"n_{x}") > 0, x) for x in names))
-    first = lambda p: F.coalesce(*(F.when(c(f"n_{x}") > 0, F.struct(c(f"{p}_{x}").alias("v"))) for x in names))["v"]
-    return df.select(*KEY, source.alias("source"), first("n").alias("refs"), first("q").alias("quantity"), F.when(source.isNull(), "no_source").when(first("q").isNull(), "unknown_quantity").alias("problem"))
+    df = facts.select(*KEY).distinct()
+    for name, lines in zip(SOURCES, (frozen, children, pinned), strict=True):
+        df = df.join(lines.groupBy(*KEY).agg(F.count(F.lit(1)).alias(f"n_{name}"), F.sum("quantity").alias(f"q_{name}")), list(KEY), "left")
+    return recovered(df)
+
+
+def recovered(totals: DataFrame) -> DataFrame:
+    """recover_refs() of rows that have the number of lines and the sum of each source: n_frozen, q_frozen and so on."""
+    source = F.coalesce(*(F.when(c(f"n_{x}") > 0, x) for x in SOURCES))
+    first = lambda p: F.coalesce(*(F.when(c(f"n_{x}") > 0, F.struct(c(f"{p}_{x}").alias("v"))) for x in SOURCES))["v"]
+    return totals.select(*KEY, source.alias("source"), first("n").alias("refs"), first("q").alias("quantity"), F.when(source.isNull(), "no_source").when(first("q").isNull(), "unknown_quantity").alias("problem"))
 
 
 def align_rows(candidates: DataFrame, original: DataFrame) -> DataFrame:
