@@ -159,8 +159,9 @@ def _(t):
 
 @query("s14_write_plan_refs", f"WITH {CARRY}, {LINES} SELECT concat(sheet_uid, '#', pos) AS record_id, plan_key, assumed FROM lines")
 def _(t):
-    lines = B.whole_profile_lines(settled(L.carry_down(t.rows)), t.plan)
-    refs = lines.select(*KEY, "plan_key", "assumed")
+    t.settle("plan_lines")
+    lines = B.whole_profile_lines(L.carry_down(t.rows), t.plan)
+    refs = settled(lines.select(*KEY, "plan_key", "assumed"))
     parents = refs.select(*KEY).distinct().withColumn("record_id", F.concat("sheet_uid", F.lit("#"), c("pos").cast("string")))
     return sinks.plan_refs(parents, refs.unionByName(refs))  # sent twice
 
@@ -243,10 +244,11 @@ def _(t):
 def _(t):
     """New sheets, whole ones in each batch, against the pinned plan: the lines of their order and model."""
     plan = settled(t.plan.select("plan_key", L.order_key(c("of_code")).alias("k"), "modelo"))
-    source = settled(t.rows.repartition(3, "sheet_uid"))
+    files = int(t.spark.conf.get("spark.sql.shuffle.partitions")) // 3 + 1
+    source = settled(t.rows.repartition(3 * files, "sheet_uid"))  # three batches, however large each is
 
     def link(rows):
         asked = L.carry_down(rows).select(*KEY, L.order_key(c("of_eff")).alias("k"), c("modelo_written").alias("modelo"))
         return asked.join(plan, ["k", "modelo"]).select(*KEY, "plan_key")
 
-    return jobs.match(jobs.table_stream(t.spark, source._scratch), link, "sheet_uid string, pos long, plan_key string", jobs.new_folder(t.spark))
+    return jobs.match(jobs.table_stream(t.spark, source._scratch, files), link, "sheet_uid string, pos long, plan_key string", jobs.new_folder(t.spark))
