@@ -36,3 +36,16 @@ def test_rows_are_scored_where_they_meet_their_order(spark, monkeypatch):
     monkeypatch.setattr(linkage, "settled", lambda df: 1 / 0)
     found = linkage.score_by_order(rows, plan)
     assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, expected.collect()), key=str) and found.columns == expected.columns
+
+
+def test_near_values_meet_in_lists(spark, monkeypatch):
+    """All pairs of a plain loop, nulls and edges of buckets too; no row goes through the join by itself."""
+    monkeypatch.setattr(linkage, "LISTED", 7)
+    draw = random.Random(5)
+    values = [(i, draw.choice([None, -0.75, 0.0, 1.5, 3.0, 3.1, draw.randint(-40, 40) / 10])) for i in range(120)]
+    left, right = spark.createDataFrame(values, "a long, x double"), spark.createDataFrame(values, "b long, y double")
+    found = linkage.tolerance_join(left, right, "x", "y", 1.5)
+    near = sorted((a, x, b, y) for a, x in values for b, y in values if x is not None and y is not None and abs(x - y) <= 1.5)
+    assert found.columns == ["a", "x", "b", "y"] and sorted(map(tuple, found.collect())) == near
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list") == 2 and plan.count("Join") == 1 and plan.index("Generate") < plan.index("Join")
