@@ -49,3 +49,16 @@ def test_near_values_meet_in_lists(spark, monkeypatch):
     assert found.columns == ["a", "x", "b", "y"] and sorted(map(tuple, found.collect())) == near
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("collect_list") == 2 and plan.count("Join") == 1 and plan.index("Generate") < plan.index("Join")
+
+
+def test_similar_values_keep_a_share_whatever_their_alignment_costs(spark):
+    """Two other characters of ten cost 16 bits, yet the values are similar by 0.8: 0.3 of the weight, and no veto by a known value."""
+    lines = [("k0", "OF200000", None, None, "AT1T120000"), ("k1", "OF200000", None, None, "AT1T123400"), ("k2", "OF200001", None, None, "AT1T555555")]
+    plan = spark.createDataFrame(lines, "plan_key string, of_code string, ov string, perfil string, modelo string")
+    rows = spark.createDataFrame([("s", 1, "200000", None, None, "AT1T120000")], "sheet_uid string, pos long, of_eff string, ov_eff string, perfil_eff string, modelo_written string")
+    pairs = linkage.exact_candidates(rows, plan, "of_eff", "of_code")
+    for scored in (linkage.score_by_order(rows, plan), linkage.score_pairs(rows, plan, pairs)):
+        bits = {r["plan_key"]: r["bits"] for r in scored.collect()}
+        own = {x["modelo"]: x["w_modelo"] for x in linkage.weights(plan, "modelo").collect()}
+        order = {x["of_code"]: x["w_of_code"] for x in linkage.weights(plan, "of_code").collect()}["OF200000"]
+        assert bits == {"k0": round(order * 1e6) + round(own["AT1T120000"] * 1e6), "k1": round(order * 1e6) + round(own["AT1T123400"] * 0.3 * 1e6)}
